@@ -121,6 +121,23 @@ def leaf_blocks(html: str) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
+#: Names that sites give to parts which are not the article, by part.
+PARTS = {
+    "nav": "nav navbar navigation menu mainmenu breadcrumb breadcrumbs topnav pagination pager toc".split(),
+    "header": "header masthead topbar branding banner sitehead logo tagline".split(),
+    "footer": "footer colophon bottom copyright legal sitefoot credits".split(),
+    "aside": "sidebar aside rail related widget recommended trending popular tags social share sharing archive side".split(),
+    "notice": "cookie consent notice gdpr alert popup modal overlay banner paywall warning message privacy".split(),
+    "ad": "ad ads advert advertisement sponsored sponsor promo promotion adsense adslot banner teaser".split(),
+    "form": "form newsletter subscribe signup search login contact comment-form reply-form".split(),
+    "comments": "comments comment discussion replies responses disqus thread reply feedback reader".split(),
+}
+CONTENT = "content article post entry story body main text article-body post-content entry-content story-text prose page".split()
+
+
+PART_OF = {n: k for k, names in PARTS.items() for n in names} | {n: "content" for n in CONTENT}
+
+
 STOP = re.compile(r"[.!?…:;\"')\]]$")
 
 
@@ -130,13 +147,19 @@ def features(b: Block) -> list[str]:
     out = {"bias"}
     own = next((x for x, _ in reversed(b.chain) if x not in INLINE), "none")
     out.add(f"own={own}")
+    inner = "none"
     for tag, names in b.chain:
         if tag not in INLINE and tag not in ("html", "body"):
             out.add(f"in={tag}")
+        for n in (tag, *names):
+            if part := PART_OF.get(n) or PART_OF.get(n.removesuffix("s")):
+                out.add(f"part={part}")
+                inner = part
         for n in names:
             out.add(f"name={n}")
             if len(n) > 5:
                 out.add(f"stem={n[:6]}")
+    out.add(f"inner={inner}")
     n = t.count(" ") + 1
     out.add("words=" + ("1-2" if n < 3 else "3-6" if n < 7 else "7-15" if n < 16 else "16+"))
     share = b.linked / max(1, len(t))
@@ -214,20 +237,6 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate:
     return Crf({f: float(theta[i]) for f, i in at.items()}, theta[-6:-2].reshape(2, 2).tolist(), theta[-2:].tolist())
 
 
-#: Names that sites give to parts which are not the article, by part.
-PARTS = {
-    "nav": "nav navbar navigation menu mainmenu breadcrumb breadcrumbs topnav pagination pager toc".split(),
-    "header": "header masthead topbar branding banner sitehead logo tagline".split(),
-    "footer": "footer colophon bottom copyright legal sitefoot credits".split(),
-    "aside": "sidebar aside rail related widget recommended trending popular tags social share sharing archive side".split(),
-    "notice": "cookie consent notice gdpr alert popup modal overlay banner paywall warning message privacy".split(),
-    "ad": "ad ads advert advertisement sponsored sponsor promo promotion adsense adslot banner teaser".split(),
-    "form": "form newsletter subscribe signup search login contact comment-form reply-form".split(),
-    "comments": "comments comment discussion replies responses disqus thread reply feedback reader".split(),
-}
-CONTENT = "content article post entry story body main text article-body post-content entry-content story-text prose page".split()
-
-
 def labelled_pages(n: int = 260, seed: int = 7) -> list[tuple[str, list[str]]]:
     """n invented pages, each with the texts of its main blocks: the labelled data that the model is fitted on."""
     r = random.Random(seed)
