@@ -9,14 +9,14 @@ from latticework.llm.bpe import bpe
 from latticework.llm.common import stored
 from latticework.llm.minhash_join import one_of_each
 from latticework.llm.mixing import mix
-from latticework.llm.quality import log_ratios, quality_rules, trusted_ids
+from latticework.llm.quality import keep_good, log_ratios, trusted_ids
 from latticework.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ratios = log_ratios(docs.select("doc_id", "text"), trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality_rules(docs, ratios).where("kept").select(*docs.columns)
+    return keep_good(docs, ratios)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,3 +295,23 @@ def test_html_of_the_table(spark):
     for r in extract(spark.read.parquet(f"{SF}/pages.parquet"), "html").join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
         assert r["text"] == "\n".join(b.text for b in leaf_blocks(inside))
+
+
+def test_pipeline_stages(spark):
+    """Each stage on its own input: what it drops, keeps and changes."""
+    import corpus_pipeline as p
+
+    from latticework.llm.quality import log_ratios, quality_rules, trusted_ids
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = p.quality(spark, docs, SF)
+    ratios = log_ratios(docs.select("doc_id", "text"), trusted_ids(spark.read.parquet(f"{SF}/labels.parquet")))
+    want = {r["doc_id"] for r in quality_rules(docs, ratios).collect() if r["kept"]}
+    got = kept.collect()
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want) < docs.count() and kept.columns == docs.columns
+    clean = p.secrets(spark, docs, SF).collect()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(clean) == len(before)
+    for r in clean:
+        assert not base_spans(r["text"] or "") and (r["text"] == before[r["doc_id"]] or "[secret]" in r["text"])
+        assert r["n_chars"] == len(r["text"])
