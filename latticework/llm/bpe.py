@@ -40,17 +40,24 @@ class WordCodec:
         rest = [b for b in range(256) if b not in own]
         self.letters = dict(zip(own, map(chr, own), strict=True)) | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.pieces = {i: s for s, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        # Below U+0300 nothing composes, and str.lower agrees with the file's lower-casing; white space only parts words.
+        steps = [s.get("pattern", s["type"]) for s in spec["normalizer"]["normalizers"]]
+        self.far = regex.compile("[^\0-\u02ff]" if steps == ["NFC", {"Regex": r"\s+"}, "Lowercase"] else "", regex.V1).search
+
+    def norm(self, text: str) -> str:
+        """The text as the file's normalizer leaves it, but for white space, which may stay as it is."""
+        return self.tok.normalizer.normalize_str(text) if self.far(text) else text.lower()
 
     def words(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
-        norm, out = self.tok.normalizer.normalize_str, []
+        out = []
         if "<|" not in text:
-            return self.find(norm(text))
+            return self.find(self.norm(text))
         for i, part in enumerate(self.cut(text)):
             if i % 2:
                 out.append(part)
             elif part:
-                out += self.find(norm(part))
+                out += self.find(self.norm(part))
         return out
 
     def ids(self, word: str) -> list[int]:
