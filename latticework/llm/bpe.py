@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,8 @@ from .common import ship, stored, without
 TABLE_WORDS, MAX_WORD = 100_000, 64
 #: A task remembers up to this many of its other words before it starts anew.
 MEMO_WORDS = 300_000
+#: And the ids of up to this many parts (letters, digits, marks) of words.
+PART_WORDS = 1 << 16
 
 
 class WordCodec:
@@ -40,47 +44,56 @@ class WordCodec:
         rest = [b for b in range(256) if b not in own]
         self.letters = dict(zip(own, map(chr, own), strict=True)) | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.pieces = {i: s for s, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        # Below U+0300 nothing composes, and str.lower agrees with the file's lower-casing; white space only parts words.
-        steps = [s.get("pattern", s["type"]) for s in spec["normalizer"]["normalizers"]]
-        self.far = regex.compile("[^\0-\u02ff]" if steps == ["NFC", {"Regex": r"\s+"}, "Lowercase"] else "", regex.V1).search
-
-    def norm(self, text: str) -> str:
-        """The text as the file's normalizer leaves it, but for white space, which may stay as it is."""
-        return self.tok.normalizer.normalize_str(text) if self.far(text) else text.lower()
+        if [s.get("pattern", s["type"]) for s in spec["normalizer"]["normalizers"]] != ["NFC", {"Regex": r"\s+"}, "Lowercase"]:
+            raise ValueError(f"{path}: another normalizer than composition, single spaces and lower case")
+        # Below U+0300 nothing composes, str.lower agrees with the file's lower-casing, and str.split with its white space but for U+001C-1F.
+        self.far = regex.compile("[^\0-\x1b\x20-\u02ff]", regex.V1).search
+        self.parts = Memo(self._part, {}, PART_WORDS)
 
     def words(self, text: str) -> list[str]:
-        """Words and special tokens of a text, in order."""
-        out = []
+        """The normalized text's runs without white space, in order, and its special tokens, marked by a line feed before them.
+
+        The file's split pattern matches no white space, so each run is split and encoded by itself.
+        """
         if "<|" not in text:
-            return self.find(self.norm(text))
+            return self._runs(text)
+        out = []
         for i, part in enumerate(self.cut(text)):
-            if i % 2:
-                out.append(part)
-            elif part:
-                out += self.find(self.norm(part))
+            out += ["\n" + part] if i % 2 else self._runs(part)
         return out
 
-    def ids(self, word: str) -> list[int]:
-        """A special token's string cannot be a word, as words hold letters only, one digit only, or neither."""
-        if word in self.special:
-            return [self.special[word]]
-        return [t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+    def _runs(self, text: str) -> list[str]:
+        return self.tok.normalizer.normalize_str(text).split(" ") if self.far(text) else text.lower().split()
+
+    def _part(self, part: str) -> bytes:
+        return _packed(t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, part.encode()))))
+
+    def ids(self, word: str) -> bytes:
+        """A word's ids as little-endian unsigned 32-bit integers."""
+        if word[:1] == "\n":
+            return _packed([self.special[word[1:]]])
+        return b"".join(map(self.parts.__getitem__, self.find(word)))
+
+
+def _packed(ids) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class Memo(dict):
-    """Word to packed ids: the shared table, and a bounded memory of other words."""
+    """Word to packed ids: a table that stays, and a bounded memory of other words."""
 
-    def __init__(self, codec: WordCodec, table: dict[str, bytes], most: int):
+    def __init__(self, make: Callable[[str], bytes], table: dict[str, bytes], most: int):
         super().__init__(table)
-        self.codec, self.table, self.most = codec, table, len(table) + most
+        self.make, self.table, self.most = make, table, len(table) + most
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
         if len(self) >= self.most:
             self.clear()
             self.update(self.table)
-        out = self[word] = np.array(self.codec.ids(word), "<u4").tobytes()
+        out = self[word] = self.make(word)
         return out
 
 
@@ -110,7 +123,7 @@ def word_table(texts: DataFrame, path: str, at_most: int = TABLE_WORDS) -> dict[
     """The most frequent words (at_most, each of MAX_WORD bytes at most) with packed ids; each was encoded once, on an executor."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(WordCodec(path), {}, 1 << 40)
+        memo = Memo(WordCodec(path).ids, {}, TABLE_WORDS)
         for b in batches:
             w = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([memo[x] for x in w], pa.binary())], ["word", "ids"])
@@ -131,7 +144,7 @@ def word_table(texts: DataFrame, path: str, at_most: int = TABLE_WORDS) -> dict[
 def bpe(df: DataFrame, path: str, text_col: str = "text", table_words: int = TABLE_WORDS, keep_ids: bool = True) -> DataFrame:
     """df with n_tokens, ids_sha256, decoded_sha256 (and ids array<int>, decoded string if keep_ids) added, replacing columns of these names.
 
-    Texts are split into words; a table of distinct words, encoded once, gives the ids by position; decoding takes
+    Texts are split into words at white space; a table of distinct words, encoded once, gives the ids by position; decoding takes
     each id's piece from the vocabulary and joins pieces by spaces, as the file names no decoder. Null text is empty:
     no ids, an empty decoded text. Whole texts of any length; rows are handled alone, so neither skew nor repeats matter.
 
@@ -149,7 +162,7 @@ def bpe(df: DataFrame, path: str, text_col: str = "text", table_words: int = TAB
         import numpy as np
 
         codec = WordCodec(path)
-        memo = Memo(codec, table.value, MEMO_WORDS)
+        memo = Memo(codec.ids, table.value, MEMO_WORDS)
         size = max(codec.pieces) + 1
         pieces = [codec.pieces.get(i, "") for i in range(size)]
         for whole in batches:

@@ -128,20 +128,22 @@ def test_mix(spark, docs, rows):
     assert mix(docs.limit(0)).count() == 0
 
 
-def test_bpe_normalizer_shortcut():
-    """Words of texts below U+0300 are those of the file's own normalizer, for every character and mixtures of them."""
+def test_bpe_words():
+    """Ids of a text's words are those of the whole text, for every character below U+0300, mixtures, and special tokens."""
+    from array import array
+
     import public_tokenizers as P
 
     from latticework.llm.bpe import WordCodec
 
     c, r = WordCodec(P.path("word_bpe_49k.json")), random.Random(3)
-    own = c.tok.normalizer.normalize_str
     near = [chr(i) for i in range(0x300)]
+    odd = [*near, *"aB'sd \n9", "\u0301", "Σ", "İ", "日", "\u2003", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", " "]
     texts = ["a" + x + "B" for x in near] + ["".join(r.choices(near, k=80)) for _ in range(2000)] + ["", " ", "Σ ΑΣ e\u0301 É \u2028x"]
-    texts += ["".join(r.choices([*near, "\u0301", "Σ", "İ", "日", "\u2003"], k=40)) for _ in range(2000)]
+    texts += ["".join(r.choices(odd, k=40)) for _ in range(2000)] + ["x<|endoftext|>\n<|ENDOFTEXT|> <|endoftext|><|endoftext|>"]
     assert not c.far("É\u0130") and c.far("e\u0301")
     for t in texts:
-        assert c.find(c.norm(t)) == c.find(own(t)), t
+        assert array("I", b"".join(map(c.ids, c.words(t)))).tolist() == c.tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_bpe(docs, rows):
