@@ -124,11 +124,27 @@ def _nested(c1: Column, c2: Column, s1: Column, s2: Column) -> Column:
     return F.when(s1, c2 + 0.001 * c1).when(s2, c1 + 0.001 * c2)
 
 
+def _probe(c1: Column, c2: Column, s1: Column, s2: Column) -> Column:
+    """Rows of the side that looks up the single table's index."""
+    return F.when(s1, c2).when(s2, c1)
+
+
+def _small(c1: Column, c2: Column, otherwise: Column) -> Column:
+    """Product of the sides where one has under 5 rows, else the lesser of it and another cost."""
+    return F.when((c1 < 5) | (c2 < 5), c1 * c2).otherwise(F.least(otherwise, c1 * c2))
+
+
 #: Cost of an edge by model: of the child's rows, the added table's rows, the parent's rows, and which sides are single tables.
 COSTS = {
     "hash": lambda c1, c2, c3, s1, s2: F.least(c1 + c2, F.coalesce(_nested(c1, c2, s1, s2), c1 + c2)),
     "nested": lambda c1, c2, c3, s1, s2: F.coalesce(_nested(c1, c2, s1, s2), c1 * c2),
     "product": lambda c1, c2, c3, s1, s2: c1 * c2,
+    "product5": lambda c1, c2, c3, s1, s2: 5 * c1 * c2,
+    "double": lambda c1, c2, c3, s1, s2: 2 * _probe(c1, c2, s1, s2),
+    "ratio": lambda c1, c2, c3, s1, s2: 2 * F.greatest(_probe(c1, c2, s1, s2), c3),
+    "ratio_product": lambda c1, c2, c3, s1, s2: F.least(2 * F.greatest(_probe(c1, c2, s1, s2), c3), c1 * c2),
+    "ratio_small": lambda c1, c2, c3, s1, s2: _small(c1, c2, 2 * F.greatest(_probe(c1, c2, s1, s2), c3)),
+    "max_small": lambda c1, c2, c3, s1, s2: _small(c1, c2, 2 * F.greatest(c1, c2)),
     "light": lambda c1, c2, c3, s1, s2: 0.001 * (c1 + c2),
     "C": lambda c1, c2, c3, s1, s2: F.least(c1 * c2, F.coalesce(_nested(c1, c2, s1, s2), c1 * c2)),
 }

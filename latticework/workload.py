@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import estimate as E
 from .operators import learn as L
+from .operators import nets as N
 from .operators import stats as ST
+from .plans import cover as C
 from .plans import lattice as P
 from .plans import templates as T
 from .plans.sqlfront import parse, predicate_op
@@ -174,6 +176,10 @@ def est_true(spark, d):
     return _cards(spark, d).select("subplan", F.col("actual").cast("double").alias("est"))
 
 
+def est_independence(spark, d):
+    return _est(spark, d)
+
+
 def est_true_rank(spark, d):
     return E.rank_repair(_cards(spark, d), _est(spark, d))
 
@@ -397,6 +403,26 @@ def _trees(kind, trees, depth):
     return run
 
 
+def _net(sets):
+    """Estimates of a network fitted on the training share of the subplans."""
+
+    def run(spark, d):
+        cards, plans = _cards(spark, d), _plans(spark)
+        rows = N.set_features(G, plans, cards.where("n_tables = 1")).join(cards.select("subplan", "actual"), "subplan")
+        train, _ = L.split(rows, "subplan", 1)
+        return N.net_estimates(rows, *N.fit_net(train, "actual", "subplan", sets))
+
+    return run
+
+
+def path_cover(spark, d):
+    return C.cover(spark, _plans(spark), _links(spark))
+
+
+def greedy_cover(spark, d):
+    return C.cover(spark, _plans(spark), _links(spark), greedy=True)
+
+
 def _cells(spark, d):
     """Regions and segments of customers as a small matrix of log order counts."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
@@ -438,13 +464,13 @@ FUNCTIONS = [
     count_message_passing, implied_predicates, sample_bitmap, join_bitmap_intersection, est_true, est_true_rank, est_true_rank_tables, est_joinkeys, est_cbo, est_true_random, est_random, qerr, abs_err,
     rel_err, qerr_by_num_tables, metric_summary, corr_est_true, constraints, edge_cost_c, edge_cost_registry, plan_cost_opt, plan_cost_est, plan_path, relative_cost, wander_join, hash_bucket,
     minmax_feature, like_ngrams, join_onehot, y_log_norm, log_bucket, clean_words, quantile_chunk, ilike_prefix_counts, template_generated, workload_mix, energy_rank, svd_reconstruct, matrix_completion,
-    flow_loss, table_sample, asof,
+    flow_loss, table_sample, asof, est_independence, path_cover, greedy_cover,
 ]
 
 
 def queries():
     out = {k: _sql(v) for k, v in SQL.items()} | {f.__name__: f for f in FUNCTIONS}
-    out |= {"rf_estimator": _trees("rf", 100, 10), "gbt_estimator": _trees("gbt", 20, 5)}
+    out |= {"rf_estimator": _trees("rf", 100, 10), "gbt_estimator": _trees("gbt", 20, 5), "fcnn_estimator": _net(()), "mscn_estimator": _net(N.SETS)}
     return out | {f"stream_{k}": _stream(k) for k in ("tumbling", "sliding", "session")}
 
 
@@ -500,6 +526,7 @@ def oracle_sql():
         "sample_bitmap": f"SELECT o_orderkey AS k FROM orders WHERE {bucket('o_orderkey', 1000)} < 20 AND o_totalprice > 100000",
         "join_bitmap_intersection": f"SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders WHERE {bucket('o_orderkey', 1000)} < 50 AND o_orderstatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE {bucket('l_orderkey', 1000)} < 50 AND l_quantity > 30)",
         "est_true": f"WITH {base}, {cards} SELECT subplan, CAST(actual AS DOUBLE) AS est FROM cards",
+        "est_independence": f"WITH {base}, {cards}, {ind} SELECT subplan, est FROM ind",
         "est_true_rank": f"WITH {base}, {cards}, {ind} SELECT subplan, MAX(est) OVER (ORDER BY actual, subplan ROWS UNBOUNDED PRECEDING) AS est FROM err",
         "est_true_rank_tables": f"WITH {base}, {cards}, {ind} SELECT subplan, MAX(est) OVER (PARTITION BY n_tables ORDER BY actual, subplan ROWS UNBOUNDED PRECEDING) AS est FROM err",
         "est_joinkeys": f"WITH {base}, {cards}, {keyed}, j2 AS (SELECT subplan, CAST(actual AS DOUBLE) AS est FROM cards WHERE n_tables <= 2), {steps} SELECT subplan, ROUND(est, 4) AS est FROM ({jk})",
@@ -510,7 +537,7 @@ def oracle_sql():
         "metric_summary": f"WITH {base}, {cards}, {ind}, qe AS (SELECT ROUND({q}, 4) AS q FROM err) {pct('q', 'qe', 3)}",
         "corr_est_true": f"WITH {base}, {cards}, {ind} SELECT ROUND(corr(est, actual), 6) AS r FROM err",
         "edge_cost_c": f"{full} SELECT parent, child, ROUND(tc, 4) AS cost FROM costs",
-        "edge_cost_registry": f"WITH {base}, {cards}, {ind}, m AS (SELECT parent, child, CAST(c.actual AS DOUBLE) AS x, CAST(a.actual AS DOUBLE) AS y, {tn} AS nested FROM {joined}) " + " UNION ALL ".join(f"SELECT '{k}' AS model, parent, child, ROUND({v}, 3) AS cost FROM m" for k, v in {"hash": "least(x + y, nested)", "nested": "nested", "product": "x * y", "light": "CAST(0.001 AS DOUBLE) * (x + y)", "C": "least(x * y, nested)"}.items()),
+        "edge_cost_registry": f"WITH {base}, {cards}, {ind}, m AS (SELECT parent, child, CAST(c.actual AS DOUBLE) AS x, CAST(a.actual AS DOUBLE) AS y, CAST(p.actual AS DOUBLE) AS z, CASE WHEN strpos(child, ' ') = 0 THEN a.actual ELSE c.actual END AS probe, {tn} AS nested FROM {joined}) " + " UNION ALL ".join(f"SELECT '{k}' AS model, parent, child, ROUND({v}, 3) AS cost FROM m" for k, v in {"hash": "least(x + y, nested)", "nested": "nested", "product": "x * y", "product5": "5 * x * y", "double": "CAST(2 * probe AS DOUBLE)", "ratio": "2 * greatest(probe, z)", "ratio_product": "least(2 * greatest(probe, z), x * y)", "ratio_small": "CASE WHEN x < 5 OR y < 5 THEN x * y ELSE least(2 * greatest(probe, z), x * y) END", "max_small": "CASE WHEN x < 5 OR y < 5 THEN x * y ELSE least(2 * greatest(x, y), x * y) END", "light": "CAST(0.001 AS DOUBLE) * (x + y)", "C": "least(x * y, nested)"}.items()),
         "plan_cost_opt": f"{full} SELECT subplan, ROUND(MIN(tc), 3) AS cost FROM ways GROUP BY subplan",
         "plan_cost_est": f"{full}, {chosen} SELECT subplan, ROUND(ec, 3) AS est_cost, ROUND(tc, 3) AS true_cost FROM pick",
         "plan_path": f"{full}, {chosen} SELECT subplan, path FROM pick",

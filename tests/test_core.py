@@ -116,6 +116,66 @@ def test_flow_gradient():
     assert loss > 0
 
 
+def test_net_gradients():
+    from latticework.operators.nets import SetNet
+
+    r = np.random.default_rng(0)
+    net = SetNet({"tables": 3, "joins": 2}, 2, hidden=5)
+    net.span = 3.0
+    for layers in (*net.sets.values(), net.top):  # no rectifier exactly at its corner
+        layers.b = [r.normal(size=b.shape) for b in layers.b]
+    x = {"tables": (r.normal(size=(6, 4, 3)), (r.uniform(size=(6, 4)) < 0.7).astype(float)), "joins": (r.normal(size=(6, 2, 2)), np.zeros((6, 2)))}
+    flat, y = r.normal(size=(6, 2)), r.uniform(size=6)
+    for loss in ("mse", "q"):
+        _, grads = net.gradients(x, flat, y, loss)
+        for p, g in zip(net.params(), grads, strict=True):
+            assert p.shape == g.shape
+            for at in list(np.ndindex(*p.shape))[::7]:
+                held = p[at]
+                p[at] = held + 1e-6
+                up = net.gradients(x, flat, y, loss)[0]
+                p[at] = held - 1e-6
+                down = net.gradients(x, flat, y, loss)[0]
+                p[at] = held
+                assert math.isclose((up - down) / 2e-6, g[at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_net_estimates(spark):
+    from latticework import workload as w
+
+    for kind in ("fcnn_estimator", "mscn_estimator"):
+        est = {r["subplan"]: r["est"] for r in w.queries()[kind](spark, SF).collect()}
+        true = {r["subplan"]: r["actual"] for r in w._cards(spark, SF).collect()}
+        q = sorted(max(est[s] / max(n, 1), max(n, 1) / est[s]) for s, n in true.items())
+        assert est.keys() == true.keys() and q[len(q) // 2] < 2, (kind, q)
+
+
+def test_net_without_rows(spark):
+    from latticework.operators.nets import fit_net
+
+    empty = spark.createDataFrame([], "subplan string, tables array<array<double>>, joins array<array<double>>, predicates array<array<double>>, flat array<double>, actual long")
+    with pytest.raises(ValueError):
+        fit_net(empty, "actual", "subplan")
+
+
+def test_path_covers():
+    from itertools import product
+
+    from latticework.plans.cover import greedy_cover, path_cover
+
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        nodes = [" ".join(map(str, range(k))) + f" n{i}" for k in range(1, 4) for i in range(2)]
+        links = [(p, c) for p, c in product(nodes, nodes) if p.count(" ") == c.count(" ") + 1 and r.uniform() < 0.5]
+        for f in (path_cover, greedy_cover):
+            paths = f(nodes, links)
+            assert sorted(n for path in paths for n in path) == sorted(nodes)
+            assert all(step in links for path in paths for step in zip(path, path[1:], strict=False))
+        # Fewest paths: nodes less the largest set of edges with distinct parents and distinct children.
+        largest = max(bin(m).count("1") for m in range(1 << len(links)) if all(len({links[i][side] for i in range(len(links)) if m >> i & 1}) == bin(m).count("1") for side in (0, 1)))
+        assert len(path_cover(nodes, links)) == len(nodes) - largest
+
+
 def test_wander_join_is_near(spark):
     from latticework import workload as w
     from latticework.operators.stats import wander
