@@ -11,6 +11,7 @@ from .operators import learn as L
 from .operators import nets as N
 from .operators import stats as ST
 from .plans import cover as C
+from .plans import execution as X
 from .plans import lattice as P
 from .plans import templates as T
 from .plans.sqlfront import parse, predicate_op
@@ -234,6 +235,16 @@ def rel_err(spark, d):
     return _errors(spark, d).select("subplan", F.round(F.abs(F.col("actual") - F.col("est")) / F.col("actual"), 4).alias("err"))
 
 
+def mse(spark, d):
+    return _errors(spark, d).select((F.avg(F.pow(F.col("est") - F.col("actual"), 2)) / 1e6).alias("m")).select(F.round("m", 3).alias("mse_millions"))
+
+
+def qerr_joinkey(spark, d):
+    """By edge: the child's number of join keys, expected as the lesser of its estimated rows and the added table's keys."""
+    e = run_sql(spark, d, _key_counts(spark, d)).join(_est(spark, d).withColumnRenamed("subplan", "child"), "child")
+    return e.select("child", "added", F.round(E.q_error(F.least("est", "r2"), F.col("r1")), 4).alias("qerr"))
+
+
 def qerr_by_num_tables(spark, d):
     return _errors(spark, d).groupBy("n_tables").agg(F.round(F.avg(E.q_error(F.col("est"), F.col("actual").cast("double"))), 4).alias("qerr"))
 
@@ -307,6 +318,27 @@ def plan_path(spark, d):
     return _est_plan(spark, d).select("subplan", "path")
 
 
+def _chosen_order(spark, d):
+    return X.join_order(plan_path(spark, d).first()["path"].split(" > "))
+
+
+def plan_forced_order(spark, d):
+    """The query's count, its joins written in the order that the estimates choose."""
+    return run_sql(spark, d, X.ordered_sql(G, _chosen_order(spark, d), "COUNT(*) AS n"))
+
+
+def executed_subplans(spark, d):
+    return X.executed(plan_path(spark, d))
+
+
+def plan_runtime(spark, d):
+    return X.run_times(spark, d, [("chosen", X.ordered_sql(G, _chosen_order(spark, d))), ("written", TREE)], reps=2)
+
+
+def plan_graph(spark, d):
+    return X.plan_graph(run_sql(spark, d, TREE))
+
+
 def relative_cost(spark, d):
     opt = P.best_paths(_costed(spark, d), LEVELS, "true_cost").select("subplan", F.col("best").alias("opt"))
     return _est_plan(spark, d).join(opt, "subplan").select(F.round(F.col("other") / F.col("opt"), 4).alias("relative"), F.round(F.col("other") - F.col("opt"), 2).alias("excess"))
@@ -464,7 +496,8 @@ FUNCTIONS = [
     count_message_passing, implied_predicates, sample_bitmap, join_bitmap_intersection, est_true, est_true_rank, est_true_rank_tables, est_joinkeys, est_cbo, est_true_random, est_random, qerr, abs_err,
     rel_err, qerr_by_num_tables, metric_summary, corr_est_true, constraints, edge_cost_c, edge_cost_registry, plan_cost_opt, plan_cost_est, plan_path, relative_cost, wander_join, hash_bucket,
     minmax_feature, like_ngrams, join_onehot, y_log_norm, log_bucket, clean_words, quantile_chunk, ilike_prefix_counts, template_generated, workload_mix, energy_rank, svd_reconstruct, matrix_completion,
-    flow_loss, table_sample, asof, est_independence, path_cover, greedy_cover,
+    flow_loss, table_sample, asof, est_independence, path_cover, greedy_cover, mse, qerr_joinkey,
+    plan_forced_order, executed_subplans, plan_runtime, plan_graph,
 ]
 
 
@@ -535,6 +568,10 @@ def oracle_sql():
         "rel_err": f"WITH {base}, {cards}, {ind} SELECT subplan, ROUND(abs(actual - est) / actual, 4) AS err FROM err",
         "qerr_by_num_tables": f"WITH {base}, {cards}, {ind} SELECT n_tables, ROUND(AVG({q}), 4) AS qerr FROM err GROUP BY n_tables",
         "metric_summary": f"WITH {base}, {cards}, {ind}, qe AS (SELECT ROUND({q}, 4) AS q FROM err) {pct('q', 'qe', 3)}",
+        "mse": f"WITH {base}, {cards}, {ind} SELECT ROUND(AVG(POWER(est - actual, 2)) / 1e6, 3) AS mse_millions FROM err",
+        "qerr_joinkey": f"WITH {base}, {ind.split(', err AS')[0]}, {keyed}, k AS (SELECT jk.child, jk.added, greatest(least(est, r2), 0) AS e, r1 FROM jk JOIN ind ON subplan = child), z AS (SELECT child, added, CASE WHEN e <= 0 THEN 1 ELSE e END AS e, CASE WHEN r1 <= 0 THEN 1 ELSE r1 END AS r FROM k) SELECT child, added, ROUND(greatest(e / r, r / e), 4) AS qerr FROM z",
+        "plan_forced_order": TREE.replace("COUNT(*)", "COUNT(*) AS n", 1),
+        "executed_subplans": f"{full}, {chosen} SELECT unnest(string_split(path, ' > ')) AS subplan FROM pick",
         "corr_est_true": f"WITH {base}, {cards}, {ind} SELECT ROUND(corr(est, actual), 6) AS r FROM err",
         "edge_cost_c": f"{full} SELECT parent, child, ROUND(tc, 4) AS cost FROM costs",
         "edge_cost_registry": f"WITH {base}, {cards}, {ind}, m AS (SELECT parent, child, CAST(c.actual AS DOUBLE) AS x, CAST(a.actual AS DOUBLE) AS y, CAST(p.actual AS DOUBLE) AS z, CASE WHEN strpos(child, ' ') = 0 THEN a.actual ELSE c.actual END AS probe, {tn} AS nested FROM {joined}) " + " UNION ALL ".join(f"SELECT '{k}' AS model, parent, child, ROUND({v}, 3) AS cost FROM m" for k, v in {"hash": "least(x + y, nested)", "nested": "nested", "product": "x * y", "product5": "5 * x * y", "double": "CAST(2 * probe AS DOUBLE)", "ratio": "2 * greatest(probe, z)", "ratio_product": "least(2 * greatest(probe, z), x * y)", "ratio_small": "CASE WHEN x < 5 OR y < 5 THEN x * y ELSE least(2 * greatest(probe, z), x * y) END", "max_small": "CASE WHEN x < 5 OR y < 5 THEN x * y ELSE least(2 * greatest(x, y), x * y) END", "light": "CAST(0.001 AS DOUBLE) * (x + y)", "C": "least(x * y, nested)"}.items()),

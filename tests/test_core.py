@@ -176,6 +176,27 @@ def test_path_covers():
         assert len(path_cover(nodes, links)) == len(nodes) - largest
 
 
+def test_execution(spark):
+    from latticework import workload as w
+    from latticework.plans.execution import join_order, ordered_sql, plan_dot, plan_graph, run_times
+    from latticework.plans.sqlfront import parse
+
+    assert join_order(["o", "l o", "c l o"]) == ["o", "l", "c"]
+    g = parse("SELECT COUNT(*) FROM orders AS o, lineitem AS l, customer AS c WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey = c.c_custkey AND l.l_quantity > 30")
+    text = ordered_sql(g, ["l", "o", "c"])
+    assert text.index("lineitem") < text.index("orders") < text.index("customer") and text.count(" ON ") == 2
+    with pytest.raises(ValueError):
+        ordered_sql(g, ["l", "c", "o"])
+    got = {r["qname"]: (r["runtime"], r["status"]) for r in run_times(spark, SF, [("good", g.sql()), ("bad", "SELECT no_such FROM orders")], timeout=60).collect()}
+    assert got["bad"] == (-1.0, "failed") and got["good"][1] == "ok" and got["good"][0] > 0
+    slow = "SELECT COUNT(*) FROM lineitem a, lineitem b, orders c WHERE a.l_quantity + b.l_quantity + c.o_custkey < 0"
+    assert run_times(spark, SF, [("slow", slow)], timeout=0.5).first()[1:] == (0, 9.5, "timeout")
+    nodes = plan_graph(w.run_sql(spark, SF, g.sql()))
+    rows = nodes.orderBy("node").collect()
+    assert rows[0]["parent"] is None and all(r["parent"] < r["node"] for r in rows[1:]) and sum(r["operator"] == "Join" for r in rows) == 2
+    assert plan_dot(nodes).count("->") == len(rows) - 1
+
+
 def test_wander_join_is_near(spark):
     from latticework import workload as w
     from latticework.operators.stats import wander
