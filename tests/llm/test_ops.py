@@ -54,6 +54,22 @@ def test_words_rules(spark, docs, rows):
     assert empty.count() == 0
 
 
+def test_quality_separates_labels(spark):
+    """Junk that passes the base rules is rejected, trusted documents stay, those not fitted on too."""
+    from latticework.llm.quality import log_ratios, quality_rules, trusted_ids
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality_rules(docs, log_ratios(docs, trusted_ids(labels))).collect()
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    junk = [r for r in got if not r["base_failed"] and label.get(r["doc_id"]) == 0]
+    good = [r for r in got if not r["base_failed"] and label.get(r["doc_id"]) == 1]
+    plain = [r for r in got if not r["base_failed"] and r["doc_id"] not in label and " | " not in r["text"] and r["n_symbols"] < 5]
+    assert len(junk) > 20 and sum(r["kept"] for r in junk) <= 0.1 * len(junk)
+    for some in (good, plain):
+        assert len(some) > 200 and sum(not r["kept"] for r in some) <= 0.01 * len(some)
+
+
 def base_spans(t):
     out = []
     for k, (name, p) in enumerate([("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]):
