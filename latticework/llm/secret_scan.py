@@ -34,12 +34,15 @@ CLASSES = (
     EntropyClass("hexadecimal", "0-9A-Fa-f", 20, 20, 2.8, "(?=.*[0-9])(?=.*[A-Fa-f])"),
     EntropyClass("base64", "A-Za-z0-9+/_=-", 24, 20, 3.6, "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
 )
-#: Candidates that are suppressed: UUIDs, placeholders, paths and runs of words.
+#: Candidates are suppressed whose value, what follows the last inner =, is a UUID or a placeholder.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|xxxx|sample|dummy",
-    r"^(?:[A-Za-z0-9]*[/_=+-]+){4,}[A-Za-z0-9]*$",
 )
+VALUE = r"([^=]+)=*$"
+#: So are hot spans that are paths or runs of words: two signs or more, and between signs only letters of one case (a capital may lead) or up to four digits.
+SIGNS = r"[/_=+-]"
+NO_WORDS = r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -70,13 +73,14 @@ def _hot(candidate: Column, c: EntropyClass) -> Column:
     """(first, last) window starts whose entropy reaches c.bits, else (-1, -1).
 
     For a window with counts n_x, H = log2(w) - sum(n_x log2 n_x) / w. Moving on by one character changes the counts
-    of the one that leaves and of the one that enters; only their terms of the sum are computed anew.
+    of the one that leaves and of the one that enters; only their terms of the sum are computed anew. Candidates are
+    ASCII, so a step cuts its characters from the bytes, whatever the candidate's length.
     """
     w = c.window
-    chars = F.split(candidate, "")
+    cut = lambda at, n: F.split(F.substring(candidate.cast("binary"), at, n).cast("string"), "")
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    first = F.slice(chars, 1, w)
+    first = cut(F.lit(1), F.lit(w))
     sum0 = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda a, x: a + term(times(first, x)))
     most = float(w * (math.log2(w) - c.bits)) + 1e-9  # the sum must not exceed this
     start = F.struct(
@@ -84,8 +88,8 @@ def _hot(candidate: Column, c: EntropyClass) -> Column:
     )
 
     def move(a: Column, i: Column) -> Column:  # i: 1-based place of the entering character; the leaving one is i - w
-        middle = F.slice(chars, i - w + 1, w - 1)
-        out, new = F.element_at(chars, i - w), F.element_at(chars, i)
+        middle = cut(i - w + 1, F.lit(w - 1))
+        out, new = F.element_at(cut(i - w, F.lit(1)), 1), F.element_at(cut(i, F.lit(1)), 1)
         n_out, n_new = times(middle, out), times(middle, new)
         t = a["t"] - term(n_out + 1) + term(n_out) + term(n_new + 1) - term(n_new)
         return F.struct(
@@ -102,9 +106,11 @@ def _entropy_spans(text: Column, c: EntropyClass) -> Column:
     """Array of (s, e) of the union of hot windows in each candidate that no allow-list entry suppresses."""
     pattern = f"(?<![{c.chars}])(?=[{c.chars}]*[0-9])[{c.chars}]{{{c.min_length},}}"
     found = _matches(text, pattern)
-    kept = F.filter(found, lambda x: x["m"].rlike(c.require) & ~F.greatest(*[x["m"].rlike(a) for a in ALLOW]))
-    hot = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), _hot(x["m"], c).alias("h")))
-    hot = F.filter(hot, lambda x: x["h"]["lo"] >= 0)
+    value = lambda x: F.regexp_extract(x["m"], VALUE, 1)
+    kept = F.filter(found, lambda x: x["m"].rlike(c.require) & ~F.greatest(*[value(x).rlike(a) for a in ALLOW]))
+    hot = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), _hot(x["m"], c).alias("h")))
+    part = lambda x: F.substring(x["m"], x["h"]["lo"] + 1, x["h"]["hi"] - x["h"]["lo"] + c.window)
+    hot = F.filter(hot, lambda x: (x["h"]["lo"] >= 0) & (part(x).rlike(NO_WORDS) | (F.regexp_count(part(x), F.lit(SIGNS)) < 2)))
     spans = F.transform(hot, lambda x: F.struct((x["s"] + x["h"]["lo"]).alias("s"), (x["s"] + x["h"]["hi"] + c.window).alias("e")))
     return _when_found(text, pattern, spans, F.expr("cast(array() as array<struct<s:int,e:int>>)"))
 

@@ -96,6 +96,26 @@ def test_secrets(docs, rows):
         assert "AKIA" not in r["text"] and "AbC1d" not in r["text"]
 
 
+def entropy_found(spark, texts):
+    """Of each text, the share of its characters in entropy spans."""
+    from latticework.llm.secret_scan import secret_scan
+
+    got = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [sum(s["e"] - s["s"] for s in r["found"] if s["k"] == 3) / len(r["text"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_allow_list_spares_no_keys(spark):
+    """Keys with many signs, and those after a name with signs, are found; paths, UUIDs and placeholders are not."""
+    from base64 import b64encode
+
+    r = random.Random(4)
+    keys = [b64encode(r.randbytes(n)).decode() for n in (64, 128, 256, 600) for _ in range(25)]
+    named = ["AWS_SECRET_ACCESS_KEY=" + b64encode(r.randbytes(30)).decode() for _ in range(25)]
+    assert min(entropy_found(spark, keys + named)) > 0.6
+    words = ["/usr/Share/Local/docs/Words_and_more/2024/File", "The-Quick_Brown/fox/jumps-over/the_lazy-dog/12", "Id=0aB4cD6e-0123-4567-89ab-0123456789ab", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "A=" + "/-_+" * 4000 + "b1"]
+    assert not any(entropy_found(spark, words))
+
+
 def test_entropy_is_that_of_the_window(spark):
     from math import log2
 
