@@ -33,6 +33,8 @@ class EntropyClass:
 CLASSES = (
     EntropyClass("hexadecimal", "0-9A-Fa-f", 20, 20, 2.8, "(?=.*[0-9])(?=.*[A-Fa-f])"),
     EntropyClass("base64", "A-Za-z0-9+/_=-", 24, 20, 3.6, "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    EntropyClass("lower-case base36", "a-z0-9", 24, 20, 3.6, "(?=.*[0-9])(?=.*[a-z])"),
+    EntropyClass("upper-case base36", "A-Z0-9", 24, 20, 3.6, "(?=.*[0-9])(?=.*[A-Z])"),
 )
 #: Candidates are suppressed whose value, what follows the last inner =, is a UUID or a placeholder.
 ALLOW = (

@@ -116,6 +116,17 @@ def test_allow_list_spares_no_keys(spark):
     assert not any(entropy_found(spark, words))
 
 
+def test_keys_of_one_case(spark):
+    """Random base36 and base32 keys of one case are found nearly always and nearly whole; words with a number are not."""
+    r = random.Random(6)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    for letters in alphabets:
+        keys = ["".join(r.choices(letters, k=k)) + r.choice("23") + r.choice(letters[:26]) for k in (30, 38, 62) for _ in range(60)]
+        shares = entropy_found(spark, [f"so {k} it" for k in keys])
+        assert sum(x > 0.6 for x in shares) >= 0.97 * len(keys)
+    assert not any(entropy_found(spark, ["internationalization2 of", "1234567890123456789012345678901a", "a" * 40 + "1"]))
+
+
 def test_entropy_is_that_of_the_window(spark):
     from math import log2
 
