@@ -408,7 +408,7 @@ def template_generated(spark, d):
 
 
 def workload_mix(spark, d):
-    """Kinds of predicates by table over generated queries and the two fixed ones."""
+    """Kinds of predicates by table over the two fixed queries; generated queries are not counted."""
     rows = []
     for q in [TREE, CYCLE]:
         g = parse(q)
