@@ -175,42 +175,6 @@ def test_mix(spark, docs, rows):
     assert mix(docs.limit(0)).count() == 0
 
 
-def test_bpe_words():
-    """Ids of a text's words are those of the whole text, for every character below U+0300, mixtures, and special tokens."""
-    from array import array
-
-    import public_tokenizers as P
-
-    from latticework.llm.bpe import WordCodec
-
-    c, r = WordCodec(P.path("word_bpe_49k.json")), random.Random(3)
-    near = [chr(i) for i in range(0x300)]
-    odd = [*near, *"aB'sd \n9", "\u0301", "Σ", "İ", "日", "\u2003", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", " "]
-    texts = ["a" + x + "B" for x in near] + ["".join(r.choices(near, k=80)) for _ in range(2000)] + ["", " ", "Σ ΑΣ e\u0301 É \u2028x"]
-    texts += ["".join(r.choices(odd, k=40)) for _ in range(2000)] + ["x<|endoftext|>\n<|ENDOFTEXT|> <|endoftext|><|endoftext|>"]
-    assert not c.far("É\u0130") and c.far("e\u0301")
-    for t in texts:
-        assert array("I", b"".join(map(c.ids, c.words(t)))).tolist() == c.tok.encode(t, add_special_tokens=False).ids, t
-
-
-def test_bpe(docs, rows):
-    import public_tokenizers as P
-    from tokenizers import Tokenizer
-
-    from latticework.llm.bpe import bpe
-
-    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    want = Counter()
-    for r in rows:
-        e = tok.encode(r["text"] or "", add_special_tokens=False)
-        text = tok.decode(e.ids, skip_special_tokens=False)
-        packed = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        want[(r["doc_id"], len(e.ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
-    for table in (500, 0):
-        got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe(docs, P.path("word_bpe_49k.json"), table_words=table).collect())
-        assert got == want
-
-
 def test_token_counts():
     import public_tokenizers as P
 
@@ -302,25 +266,6 @@ def test_warc(tmp_path, spark):
             warc.parse(bad)
 
 
-def test_topk(spark):
-    import numpy as np
-
-    from latticework.llm.topk import top_k
-
-    rng = np.random.default_rng(2)
-    v = rng.normal(size=(400, 12)) * rng.gamma(1, 1, size=(400, 1))
-    rows = [(i, [float(x) for x in np.float32(v[i])]) for i in range(400)] + [(400, None), (450, [1.0, None]), (500, [float("nan")]), (50, [0.5]), (401, [0.0] * 12), (402, [0.0] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    good = [(i, np.pad(np.floor(256 * np.array(x, np.float32).astype(float)), (0, 12 - len(x)))) for i, x in rows if x and None not in x and not np.isnan(x).any()]
-    got = top_k(df, 5, 50).collect()
-    for q in range(0, 400, 50):
-        own = [x for i, x in good if i == q]
-        mine = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
-        options = [[(k + 1, i, s) for k, (s, i) in enumerate(sorted(((int(x @ y), i) for i, y in good if i != q), key=lambda p: (-p[0], p[1]))[:5])] for x in own]
-        assert mine in options
-    assert top_k(df.limit(0)).count() == 0
-
-
 def test_url_filter(spark):
     from latticework.llm.url_filter import rules_frame, url_filter
 
