@@ -1,24 +1,21 @@
-"""BPE encoding and decoding through a distinct-word table."""
+"""BPE encoding and decoding through a table of distinct words, joined back by position."""
 
 from __future__ import annotations
 
 import hashlib
-import sys
-from array import array
+import io
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, without
+from .common import col, fresh, shared_dir, ship, stored, without
 
-#: The most frequent words up to this many are in the table that every task holds: some 20 MB at most, as longer
-#: words than MAX_WORD bytes stay out. The other words are encoded where they occur.
-TABLE_WORDS, MAX_WORD = 100_000, 64
-#: A task remembers up to this many of its other words before it starts anew.
-MEMO_WORDS = 300_000
-#: And the ids of up to this many parts (letters, digits, marks) of words.
+#: Characters of the texts of a chunk; a longer text is a chunk by itself.
+CHUNK_CHARS = 16_000_000
+#: The ids of up to this many parts (letters, digits, marks) of words that a task remembers.
 PART_WORDS = 1 << 16
 
 
@@ -48,7 +45,7 @@ class WordCodec:
             raise ValueError(f"{path}: another normalizer than composition, single spaces and lower case")
         # Below U+0300 nothing composes, str.lower agrees with the file's lower-casing, and str.split with its white space but for U+001C-1F.
         self.far = regex.compile("[^\0-\x1b\x20-\u02ff]", regex.V1).search
-        self.parts = Memo(self._part, {}, PART_WORDS)
+        self.parts = Memo(self._part, PART_WORDS)
 
     def words(self, text: str) -> list[str]:
         """The normalized text's runs without white space, in order, and its special tokens, marked by a line feed before them.
@@ -65,135 +62,193 @@ class WordCodec:
     def _runs(self, text: str) -> list[str]:
         return self.tok.normalizer.normalize_str(text).split(" ") if self.far(text) else text.lower().split()
 
-    def _part(self, part: str) -> bytes:
-        return _packed(t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, part.encode()))))
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))]
 
-    def ids(self, word: str) -> bytes:
-        """A word's ids as little-endian unsigned 32-bit integers."""
+    def ids(self, word: str) -> list[int]:
         if word[:1] == "\n":
-            return _packed([self.special[word[1:]]])
-        return b"".join(map(self.parts.__getitem__, self.find(word)))
-
-
-def _packed(ids) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+            return [self.special[word[1:]]]
+        return [i for part in self.find(word) for i in self.parts[part]]
 
 
 class Memo(dict):
-    """Word to packed ids: a table that stays, and a bounded memory of other words."""
+    """What make gives for a key, remembered for up to `most` keys before it starts anew."""
 
-    def __init__(self, make: Callable[[str], bytes], table: dict[str, bytes], most: int):
-        super().__init__(table)
-        self.make, self.table, self.most = make, table, len(table) + most
+    def __init__(self, make: Callable[[str], list[int]], most: int):
+        super().__init__()
+        self.make, self.most = make, most
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str) -> list[int]:
         if len(self) >= self.most:
             self.clear()
-            self.update(self.table)
-        out = self[word] = self.make(word)
+        out = self[key] = self.make(key)
         return out
 
 
-def word_counts(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n) over the column text of all rows, summed within each batch and then by word."""
+class Numbers(dict):
+    """Word to its number, in order of first appearance."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-        codec, seen = WordCodec(path), Counter()
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _fs(uri: str):
+    from pyarrow import fs
 
-        for b in batches:
-            for t in b.column(0):
-                seen.update(codec.words(t.as_py() or ""))
-            if len(seen) > 400_000:
-                yield rows()
-                seen.clear()
-        yield rows()
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def split_words(d: DataFrame, path: str, text_col: str, where: str, chunk_chars: int) -> DataFrame:
+    """(chunk, number, word): the distinct words of each chunk of texts, stored; and a row of number -1 for each chunk.
 
-def word_table(texts: DataFrame, path: str, at_most: int = TABLE_WORDS) -> dict[str, bytes]:
-    """The most frequent words (at_most, each of MAX_WORD bytes at most) with packed ids; each was encoded once, on an executor."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(WordCodec(path).ids, {}, TABLE_WORDS)
-        for b in batches:
-            w = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([memo[x] for x in w], pa.binary())], ["word", "ids"])
-
-    counts = stored(word_counts(texts, path).where(F.octet_length("word") <= MAX_WORD), "word-counts")
-    # The least frequency that leaves at_most words, from a histogram of some hundred buckets: no sort, no task that gathers candidates.
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes, least, held = sorted(((r["l"], r["c"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("c")).collect()), reverse=True), 1 << 30, 0
-    for bucket, c in sizes:
-        if held + c > at_most:
-            break
-        least, held = bucket, held + c
-    top = counts.where(level >= least)
-    found = top.select("word").mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-
-
-def bpe(df: DataFrame, path: str, text_col: str = "text", table_words: int = TABLE_WORDS, keep_ids: bool = True) -> DataFrame:
-    """df with n_tokens, ids_sha256, decoded_sha256 (and ids array<int>, decoded string if keep_ids) added, replacing columns of these names.
-
-    Texts are split into words at white space; a table of distinct words, encoded once, gives the ids by position; decoding takes
-    each id's piece from the vocabulary and joins pieces by spaces, as the file names no decoder. Null text is empty:
-    no ids, an empty decoded text. Whole texts of any length; rows are handled alone, so neither skew nor repeats matter.
-
-    The table holds the most frequent words up to a fixed number, so its size is bounded while the corpus grows; a task
-    encodes any other word when it first meets it. Positions are never shuffled.
+    A chunk's other columns and, for each text, the numbers of its words in order go into the file `where`/chunk. Chunks
+    are numbered by task attempt, so only files of attempts whose rows were stored are ever read.
     """
-    spark = df.sparkSession
-    ship(spark)
-    d = without(df, ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids)
-    table = spark.sparkContext.broadcast(word_table(df.select(F.col(text_col).alias("text")), path, table_words) if table_words else {})
     at = d.columns.index(text_col)
-    schema = d.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from pyspark import TaskContext
+
+        codec, seq = WordCodec(path), 0
+        fs, top = _fs(where)
+        fs.create_dir(top, recursive=True)
+        numbers, places, held, chars = Numbers(), [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            nonlocal seq, numbers, places, held, chars
+            chunk = TaskContext.get().taskAttemptId() << 20 | seq
+            seq += 1
+            table = pa.Table.from_batches(held).append_column("places", pa.array(places, pa.large_binary()))
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            with fs.open_output_stream(f"{top}/{chunk}", compression=None) as f:
+                f.write(out.getvalue())
+            n = len(numbers)
+            made = [pa.array(np.full(n + 1, chunk), pa.int64()), pa.array(np.arange(-1, n), pa.int32()), pa.array(["", *numbers], pa.string())]
+            numbers, places, held, chars = Numbers(), [], [], 0
+            return pa.RecordBatch.from_arrays(made, ["chunk", "number", "word"])
 
-        codec = WordCodec(path)
-        memo = Memo(codec.ids, table.value, MEMO_WORDS)
-        size = max(codec.pieces) + 1
-        pieces = [codec.pieces.get(i, "") for i in range(size)]
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                n, enc, dec, ids, texts = [], [], [], [], []
-                for t in b.column(at):
-                    packed = b"".join(map(memo.__getitem__, codec.words(t.as_py() or "")))
-                    own = np.frombuffer(packed, "<u4").tolist()
-                    text = " ".join(map(pieces.__getitem__, own))
-                    n.append(len(own))
-                    enc.append(hashlib.sha256(packed).hexdigest())
-                    dec.append(hashlib.sha256(text.encode()).hexdigest())
-                    if keep_ids:
-                        ids.append(own)
-                        texts.append(text)
-                more = [pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    more += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
-
-    for name, kind in [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>"), ("decoded", "string")] * keep_ids:
-        schema = _add(schema, name, kind)
-    return d.mapInArrow(run, schema)
-
-
-def _add(schema, name: str, kind: str):
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+            start = 0
+            for i, t in enumerate(whole.column(at)):
+                words = codec.words(t.as_py() or "")
+                found = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
+                # The bytes of a number apart: the high ones are nearly all 0 and compress away.
+                places.append(np.ascontiguousarray(found.view("u1").reshape(-1, 4).T).tobytes())
+                chars += len(t.as_py() or "")
+                if chars >= chunk_chars:
+                    held.append(_rest(whole.slice(start, i + 1 - start), at))
+                    start = i + 1
+                    yield rows()
+            if start < whole.num_rows:
+                held.append(_rest(whole.slice(start), at))
+        if held:
+            yield rows()
+
+    plain = d.toDF(*[f"c{i}" for i in range(len(d.columns))])  # mapInArrow itself stumbles over dots in names
+    return stored(plain.mapInArrow(run, "chunk long, number int, word string"), "bpe-words")
+
+
+def _rest(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """A batch without the text column, under names by place, and with the texts' own place kept by the row order."""
+    cols = [c for i, c in enumerate(batch.columns) if i != at]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(batch.num_rows)], [*map(str, range(len(cols))), "end"])
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(chunk, number, ids, first) of words (chunk, number, word): each distinct word is encoded once, in the row marked first.
+
+    Rows of a word meet in one task, next to each other. A word has one row for a chunk, so the most frequent word has
+    no more rows than there are chunks, and they stream by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, now, ids = WordCodec(path), None, []
+        for b in batches:
+            out, first = [], []
+            for w in b.column(2).to_pylist():
+                first.append(w != now)
+                if w != now:
+                    now, ids = w, codec.ids(w)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32())), pa.array(first)], ["chunk", "number", "ids", "first"])
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, number int, ids array<int>, first boolean")
+
+
+def pieces(spark, path: str) -> DataFrame:
+    """(id, piece) of the tokenizer's vocabulary: as many rows as it has ids, whatever the corpus."""
+    return spark.createDataFrame(sorted(WordCodec(path).pieces.items()), "id int, piece string")
+
+
+def bpe(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """df without text_col, with n_tokens, ids_sha256, decoded_sha256 (and ids array<int>, decoded string if keep_ids), which replace columns of these names.
 
-    return StructType([*schema.fields, StructField(name, _parse_datatype_string(kind))])
+    Texts are split into words at white space and stored as numbers of the distinct words of their chunk. The distinct
+    words of all chunks meet by word, and each is encoded once; its ids go back to the chunks by word number, where each
+    text's ids are put together by position. Decoding joins the distinct ids of a chunk to their pieces and puts these
+    together by position, with spaces between, as the file names no decoder.
 
+    Null and empty texts have no ids and an empty decoded text; an empty table gives an empty one; repeated rows each have
+    a result; other columns pass through, whatever their names. Whole texts of any length. Memory goes by the chunk: its
+    distinct words, and the positions of its texts.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    d = without(df, [c for c in ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids if c != text_col.lower()])
+    passed = [f for f in d.schema.fields if f.name != text_col]
+    where = f"{shared_dir(spark)}/bpe-places-{uuid.uuid4().hex}"
+    words = split_words(d, path, text_col, where, chunk_chars)
+    encoded = encode_words(words, path).drop("first").repartition("chunk")
+    used = encoded.select(F.col("chunk").alias("of"), F.explode("ids").alias("id")).distinct()
+    named = used.join(F.broadcast(pieces(spark, path)), "id").select("of", "id", "piece")
+
+    def join(words: pa.Table, named: pa.Table) -> pa.Table:
+        import numpy as np
+
+        chunk = words["chunk"][0].as_py()
+        fs, top = _fs(where)
+        with fs.open_input_stream(f"{top}/{chunk}", compression=None) as f:
+            texts = pa.ipc.open_stream(f.read()).read_all()
+        words = words.sort_by("number").slice(1).combine_chunks()  # behind the row of number -1
+        ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        flat, sizes = ids.flatten().to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        piece = dict(zip(named["id"].to_pylist(), named["piece"].to_pylist(), strict=True))
+        spelled = [piece[i] for i in flat.tolist()]
+        # A word's pieces as one string; a word of no ids would leave no trace.
+        by_word = [" ".join(spelled[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+        n_tokens, enc, dec, own, decoded = [], [], [], [], []
+        for raw in texts["places"]:
+            planes = np.frombuffer(raw.as_buffer(), "u1").reshape(4, -1)
+            at = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+            at = at[sizes[at] > 0]
+            n = sizes[at]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            got = flat[np.repeat(begins[at] - (ends - n), n) + np.arange(total)]
+            text = " ".join([by_word[i] for i in at.tolist()])
+            n_tokens.append(total)
+            enc.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
+            dec.append(hashlib.sha256(text.encode()).hexdigest())
+            if keep_ids:
+                own.append(got.astype(np.int32))
+                decoded.append(text)
+        more = [pa.array(n_tokens, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
+        if keep_ids:
+            more += [pa.array(own, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        kept = [texts[str(i)] for i in range(len(passed))]
+        return pa.table([*kept, *more], names=names)
+
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>"), ("decoded", "string")] * keep_ids
+    inner = fresh([a for a, _ in added], *[f"c{i}" for i in range(len(passed))])  # names that any caller's columns may have are given back at the end
+    names = [*inner, *[a for a, _ in added]]
+    schema = StructType([*[StructField(n, f.dataType) for n, f in zip(inner, passed, strict=True)], *[StructField(a, _parse_datatype_string(t)) for a, t in added]])
+    out = encoded.groupBy("chunk").cogroup(named.groupBy("of")).applyInArrow(join, schema)
+    return out.select(*[col(n).alias(f.name) for n, f in zip(inner, passed, strict=True)], *[a for a, _ in added])
