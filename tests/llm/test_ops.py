@@ -175,28 +175,6 @@ def test_mix(spark, docs, rows):
     assert mix(docs.limit(0)).count() == 0
 
 
-def test_token_counts():
-    import public_tokenizers as P
-
-    from latticework.llm.token_counts import INSERTS, Counter as Tokens, CountTree
-
-    c, r = Tokens(P.path("byte_bpe_50k.tiktoken")), random.Random(1)
-    for t in ["", " ", "a", "it's   the\n\n end ", "word " * 900, "日本 語😀 " * 50, "  \n x" * 200]:
-        tree = CountTree(c, t)
-        assert tree.total == c.full(t)
-        for _ in range(40):
-            n = len(tree.text)
-            a = r.randint(0, n)
-            b = min(n, a + r.choice([0, 1, 3, 10, 300]))
-            new = r.choice([*INSERTS, "x", " ", "   ", "long text " * 100])
-            want = tree.text[:a] + new + tree.text[b:]
-            tree.edit(a, b, new)
-            assert tree.text == want and tree.total == c.full(want)
-    tree = CountTree(c, "some words here, " * 5000)
-    tree.edit(40_000, 40_003, "new")
-    assert tree.encoded < 12
-
-
 def test_near_copies(spark):
     from latticework.llm.minhash_join import near_copies, one_of_each
 
