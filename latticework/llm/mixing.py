@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, without
+from .common import WORD, col, fresh, quoted, stored, without
 
 #: Bits of the hash that each nested histogram looks at, and the number of histograms: 60 bits in all.
 LEVEL_BITS, LEVELS = 12, 5
 #: A document is taken this many times at most.
 MAX_REPEATS = 3
+#: Equal rows that are written out in one piece.
+PIECE = 10_000
 #: Weights by a source's rank, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -61,22 +63,49 @@ def _bucket(h: Column, level: int) -> Column:
     return F.shiftrightunsigned(h, 64 - LEVEL_BITS * (level + 1)).bitwiseAND((1 << LEVEL_BITS) - 1)
 
 
+def _comparable(df: DataFrame) -> list[Column]:
+    """Each column as something that can be hashed and grouped: maps as JSON."""
+    odd = lambda f: "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()
+    return [F.to_json(F.struct(col(f.name))) if odd(f) else col(f.name) for f in df.schema.fields]
+
+
+def _numbered(rows: DataFrame, h: str, n: str) -> DataFrame:
+    """Each row n times, its hash replaced by one of the hash and the occurrence; a row of many occurrences is dealt out in pieces."""
+    (at,) = fresh(rows.columns, "at")
+    pieces = rows.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((col(n) - 1) / PIECE)))).repartition(col(h), col(at))
+    every = pieces.withColumn(at, F.explode(F.sequence(col(at) * PIECE, F.least((col(at) + 1) * PIECE, col(n)) - 1)))
+    return every.withColumn(h, F.xxhash64(col(h), col(at))).drop(at, n)
+
+
 def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """df with size, source_size, target and taken added (columns of these names are replaced).
+    """df with size, source_size, target and taken added (columns of these names are replaced, all others stay).
 
     taken = size times the number of repeats: floor(target / source_size) for every document, and one more where
     the document's hash is below its source's threshold. The threshold: words are summed by source and top 12 hash
-    bits; in the bucket where the rest of the budget ends, by the next 12 bits, and so on. The documents of the last
-    bucket are taken whole if that comes nearer to the target. No sort, no choice by order: reruns agree.
+    bits; in the bucket where the rest of the budget ends, by the next 12 bits, and so on. The document at the boundary
+    is taken if that comes nearer to the target. No sort, no choice by order: reruns agree.
 
-    The hash covers id and text. Null text has size 0; a null source is a source, ranked last; rows equal in id and
-    text are taken or left together. Sources may be as skewed as they like: histograms are summed before they
-    are shuffled, and a source's histogram has 4096 rows at most.
+    The hash covers all columns, and of rows equal in all of them also the occurrence, so that each can be taken or left by
+    itself; which of them is which does not matter. Null text has size 0; a null source is a source, ranked last; an empty
+    table gives an empty one. Sources may be as skewed as they like: histograms are summed before they are shuffled,
+    and a source's histogram has 4096 rows at most. Equal rows are counted where they are before they meet.
     """
     base = without(df, ["size", "source_size", "target", "taken"])
-    h = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    d = df.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), h.alias("h"))
-    d = stored(d.groupBy("source", "h").agg(F.sum("size").alias("size")), "mix-sizes")
+    hash_, size, row, s_, whole, below, n = fresh([*df.columns, "size", "source_size", "target", "taken"], "hash", "words", "row", "of", "whole", "below", "n")
+    base = df.select(*[col(c) for c in base.columns], F.xxhash64(*_comparable(df)).alias(hash_), n_words(col(text_col)).alias(size))
+    d = stored(base.select(col(source_col).alias("source"), col(hash_).alias("h"), col(size).alias("size")).groupBy("source", "h").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-sizes")
+    again = d.where("n > 1").select(F.col("h").alias(s_)).distinct()
+    if not again.isEmpty():
+        again = stored(again, "mix-repeats")
+        twice = base.join(again, col(hash_) == col(s_), "left_semi")
+        alone = base.join(again, col(hash_) == col(s_), "left_anti")
+        each = twice.groupBy(*_comparable(base)).agg(F.first(F.struct(*[col(c) for c in base.columns])).alias(row), F.count("*").alias(n))
+        each = stored(each.select(row, n), "mix-repeated-rows")
+        facts = each.select(F.col(f"{row}.{quoted(source_col)}").alias("source"), F.col(f"{row}.{quoted(hash_)}").alias("h"), F.col(f"{row}.{quoted(size)}").alias("size"), F.col(n).alias("n"))
+        single = d.join(again, F.col("h") == col(s_), "left_anti").select("source", "h", "size")
+        d = stored(single.unionByName(_numbered(facts, "h", "n").select("source", "h", "size")), "mix-sizes")
+        rows = each.select(*[F.col(f"{row}.{quoted(c)}").alias(c) for c in base.columns], n)
+        base = alone.unionByName(_numbered(rows, hash_, n))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes)
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MAX_REPEATS)), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -114,8 +143,8 @@ def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_co
             "mix-state",
         )
     used = 64 - LEVEL_BITS * LEVELS
-    side = state.select(F.col("source").alias("s__"), "source_size", "target", F.col("whole").alias("whole__"), F.col("prefix").alias("below__"))
-    out = base.withColumn("size", n_words(F.col(text_col))).withColumn("h__", h)
-    out = out.join(side, out[source_col].eqNullSafe(F.col("s__")), "left")
-    extra = (F.shiftrightunsigned("h__", used) < F.col("below__")).cast("long")
-    return out.withColumn("taken", (F.col("size") * (F.col("whole__") + extra)).cast("long")).drop("h__", "s__", "whole__", "below__")
+    side = state.select(F.col("source").alias(s_), "source_size", "target", F.col("whole").alias(whole), F.col("prefix").alias(below))
+    out = base.join(side, col(source_col).eqNullSafe(col(s_)), "left")
+    extra = (F.shiftrightunsigned(col(hash_), used) < col(below)).cast("long")
+    kept = [col(c) for c in base.columns if c not in (hash_, size)]
+    return out.select(*kept, col(size).alias("size"), "source_size", "target", (col(size) * (col(whole) + extra)).cast("long").alias("taken"))

@@ -143,87 +143,6 @@ def test_entropy_is_that_of_the_window(spark):
         assert (row["h"]["lo"], row["h"]["hi"]) == ((h[0], h[-1]) if h else (-1, -1))
 
 
-def test_mix(spark, docs, rows):
-    from latticework.llm.mixing import mix
-
-    got = mix(docs).collect()
-    again = mix(docs.repartition(5)).collect()
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["taken"])
-    assert sorted(map(key, got)) == sorted(map(key, again))
-    sizes = Counter()
-    for r in rows:
-        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
-    order = sorted(sizes)
-    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
-    target, total, full = {}, sum(sizes.values()), set()
-    while True:
-        rate = (total - sum(3 * sizes[s] for s in full)) / sum(weight[s] for s in order if s not in full)
-        more = {s for s in order if s not in full and rate * weight[s] > 3 * sizes[s]}
-        if not more:
-            break
-        full |= more
-    for s in order:
-        target[s] = 3 * sizes[s] if s in full else rate * weight[s]
-    taken, largest = Counter(), Counter()
-    for r in got:
-        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * total
-        assert r["taken"] <= 3 * r["size"]
-        taken[r["source"]] += r["taken"]
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
-    for s in order:
-        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
-    assert mix(docs.limit(0)).count() == 0
-
-
-def test_near_copies(spark):
-    from latticework.llm.minhash_join import near_copies, one_of_each
-
-    r = random.Random(5)
-    word = lambda: "".join(r.choices("abcdefgh", k=4))
-    made = []
-    for g in range(12):
-        base = [word() for _ in range(r.choice([3, 8, 60, 300]))]
-        for c in range(r.choice([1, 2, 6])):
-            w = list(base)
-            for _ in range(len(w) * r.choice([0, 1, 2, 4, 9]) // 400):
-                w[r.randrange(len(w))] = word()
-            made.append(" ".join(w))
-    base = [word() for _ in range(200)]
-    for c in range(700):  # more than a block of different near copies
-        w = list(base)
-        for _ in range(3):
-            w[r.randrange(200)] = word()
-        made.append(" ".join(w))
-    made += [made[-1]] * 40 + [None, None, "", " ", "hi there", "hi there"]
-    ids = list(range(len(made)))
-    sets = [None if not t or not t.split() else {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in made]
-    links, up = [0] * len(made), list(range(len(made)))
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    inverse = {}
-    for i, s in enumerate(sets):
-        seen = Counter(j for x in s or () for j in inverse.get(x, ()))
-        for j, n in seen.items():
-            if n >= 0.8 * (len(s) + len(sets[j]) - n):
-                links[i] += 1
-                links[j] += 1
-                a, b = sorted((top(i), top(j)))
-                up[b] = a
-        for x in s or ():
-            inverse.setdefault(x, []).append(i)
-    df = spark.createDataFrame(list(zip(ids, made, strict=True)), "doc_id long, text string").repartition(4)
-    got = {x["doc_id"]: x for x in near_copies(df).collect()}
-    assert len(got) == len(made)
-    wrong = [i for i in ids if got[i]["class_id"] != top(i) or got[i]["n_links"] != links[i]]
-    assert not wrong, [(i, got[i]["class_id"], top(i), got[i]["n_links"], links[i]) for i in wrong[:9]]
-    kept = [x["doc_id"] for x in one_of_each(df.unionByName(df.where("doc_id < 3"))).collect()]
-    assert sorted(set(kept)) == sorted({top(i) for i in ids}) and len(kept) == len(set(kept))
-
-
 def test_warc(tmp_path, spark):
     from latticework.llm import warc
 
