@@ -8,15 +8,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, stored, without
+from .common import col, fresh, quoted, ship, stored, without
 
 #: Words in a shingle, the least Jaccard similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, 0.999999 at 0.86,
 #: and 0.02 at 0.3, so passages that many documents share cost little.
 BANDS, ROWS = 26, 6
-#: Members of a bucket that meet in one task; larger buckets are split into pairs of blocks.
-BLOCK = 512
+#: A bucket is split into blocks of an eighth of its members, but of no fewer than the first and no more than the second
+#: number; a task holds two blocks. Large blocks send a text to fewer tasks, small ones spread a bucket over more.
+BLOCKS = (256, 2048)
+#: Up to this many fingerprints (16 bytes each) of texts with a pair to verify are broadcast to find the texts; more are shuffled.
+BROADCAST_TEXTS = 500_000
 
 
 class Shingler:
@@ -231,7 +234,7 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, words: int, similari
     import numpy as np  # noqa: F401
 
     ship(df.sparkSession)
-    t = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fingerprint(F.col(text_col)).alias("fp"))
+    t = df.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"), fingerprint(col(text_col)).alias("fp"))
     a, b = multipliers(BANDS * ROWS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +253,8 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, words: int, similari
 
     keys = texts.where(F.col("bands").isNotNull()).select("fp", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "k")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    members = F.least(F.greatest(F.col("c") / 8, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
+    blocks = F.ceil(F.col("c") / members).cast("int")
     met = keys.join(full, F.col("key") == F.col("k")).select("key", "fp", blocks.alias("nb"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "fp")
     met = met.join(texts.select("fp", "n", "bands"), "fp").select("key", "lo", "hi", "own", "fp", "n", "bands")
@@ -258,8 +262,10 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, words: int, similari
     need = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_needed, shape)
     need = stored(need, "needed")
 
-    wanted = need.select("fp").distinct()
-    bodies = t.groupBy("fp").agg(F.first("text").alias("text")).join(wanted, "fp", "left_semi")
+    # Texts without a pair to verify stay where they are.
+    wanted = stored(need.select("fp").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_TEXTS
+    bodies = t.join(F.broadcast(wanted) if few else wanted, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     pairs = need.join(bodies, "fp").select("key", "lo", "hi", "own", "fp", "n", "bands", "text")
     linked = pairs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_verify(words, similarity), "fp binary, links long, texts long, root binary")
     linked = stored(linked, "linked")
@@ -281,32 +287,38 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Two rows are linked if their texts are equal or the Jaccard similarity of their sets of shingles is at least
     `similarity`. class_id: the least id among the rows that chains of links reach; n_links: rows linked to this row;
     n_linked_texts: different other texts linked. Rows with null text or without words stand alone, class_id their own
-    id. Repeated ids and rows are allowed; null ids come last and may give a null class_id.
+    id. Repeated ids and rows are allowed; null ids come last and may give a null class_id. An empty table gives an empty
+    one; other columns stay, whatever their names.
 
     Equal texts are one node from the start. Bands of equal hash are buckets; a bucket of many texts is split into
     pairs of blocks; a pair is verified only in the first band that it shares, and counted there, so pairs never become
     rows and nothing needs to be made distinct. Texts travel only to the buckets where they have a pair to verify.
     """
-    base = without(df, ["class_id", "n_links", "n_linked_texts"])
-    fp = free_name(base.columns, "fp__")
-    c = text_classes(base, id_col, text_col, words, similarity)
-    c = c.select(F.col("fp").alias("cfp__"), F.col("class_id").alias("cid__"), "n", "links", "texts", "worded")
-    d = base.withColumn(fp, fingerprint(F.col(text_col)))
-    ok = F.coalesce(F.col("worded"), F.lit(False))
-    d = d.join(c, F.col(fp) == F.col("cfp__"), "left")
+    added = ["class_id", "n_links", "n_linked_texts"]
+    base = without(df, added)
+    fp, cfp, cid, n, links, texts, worded = fresh([*df.columns, *added], "fp", "own_fp", "cid", "n", "links", "texts", "worded")
+    c = text_classes(df, id_col, text_col, words, similarity)
+    c = c.select(F.col("fp").alias(cfp), F.col("class_id").alias(cid), F.col("n").alias(n), F.col("links").alias(links), F.col("texts").alias(texts), F.col("worded").alias(worded))
+    d = df.select(*[col(x) for x in base.columns], col(id_col).cast("long").alias(added[0]), fingerprint(col(text_col)).alias(fp)).join(c, F.col(fp) == F.col(cfp), "left")
+    ok = F.coalesce(F.col(worded), F.lit(False))
     return d.select(
-        *base.columns, F.when(ok, F.col("cid__")).otherwise(F.col(id_col)).cast("long").alias("class_id"),
-        F.when(ok, F.col("links") + F.col("n") - 1).otherwise(0).cast("long").alias("n_links"), F.when(ok, F.col("texts")).otherwise(0).cast("long").alias("n_linked_texts"),
+        *[col(x) for x in base.columns], F.when(ok, F.col(cid)).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(ok, F.col(links) + F.col(n) - 1).otherwise(0).cast("long").alias("n_links"), F.when(ok, F.col(texts)).otherwise(0).cast("long").alias("n_linked_texts"),
     )
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """df with one row of each class of near copies: that of the least id (of its rows, one); rows without words all stay."""
+    """df with one row of each class of near copies: that of the least id (of its rows, one); rows without words all stay.
+
+    Columns stay as they are, whatever their names; an empty table gives an empty one.
+    """
+    fp, cfp, rep, n_rep, first, worded, row = fresh(df.columns, "fp", "own_fp", "rep", "n_rep", "first", "worded", "row")
     c = text_classes(df, id_col, text_col, words, similarity)
-    c = c.select(F.col("fp").alias("cfp__"), F.col("rep").alias("rep__"), F.col("n_rep").alias("nrep__"), F.col("first").alias("first__"), F.col("worded").alias("worded__"))
-    d = df.withColumn("fp__", fingerprint(F.col(text_col))).join(c, F.col("fp__") == F.col("cfp__"), "left")
-    alone = ~F.coalesce("worded__", F.lit(False))
-    head = F.col("first__") & F.col(id_col).cast("long").eqNullSafe(F.col("rep__"))
-    single = d.where(alone | (head & (F.col("nrep__") == 1))).select(*df.columns)
-    many = d.where(~alone & head & (F.col("nrep__") > 1)).groupBy("fp__").agg(F.first(F.struct(*df.columns)).alias("row")).select(*[F.col("row").getField(x).alias(x) for x in df.columns])
-    return single.unionByName(many)
+    c = c.select(F.col("fp").alias(cfp), F.col("rep").alias(rep), F.col("n_rep").alias(n_rep), F.col("first").alias(first), F.col("worded").alias(worded))
+    d = df.withColumn(fp, fingerprint(col(text_col))).join(c, F.col(fp) == F.col(cfp), "left")
+    own = [col(x) for x in df.columns]
+    alone = ~F.coalesce(F.col(worded), F.lit(False))
+    head = F.col(first) & col(id_col).cast("long").eqNullSafe(F.col(rep))
+    single = d.where(alone | (head & (F.col(n_rep) == 1))).select(*own)
+    many = d.where(~alone & head & (F.col(n_rep) > 1)).groupBy(fp).agg(F.first(F.struct(*own)).alias(row))
+    return single.unionByName(many.select(*[F.col(f"{row}.{quoted(x)}").alias(x) for x in df.columns]))
