@@ -41,9 +41,9 @@ def op3_secret_scans(spark, d):
 
 
 def op4_warc(spark, d):
-    from .warc import archive, read_archives
+    from .warc import archive, read_index
 
-    return read_archives(archive(_pages(spark, d))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_index(archive(_pages(spark, d))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_source_mixing(spark, d):

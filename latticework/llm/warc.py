@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, shared_dir, stored
+from .common import col, ship, shared_dir, stored
 
 #: Magic numbers: the skippable frame that holds the dictionary, and a Zstandard frame.
 SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -24,6 +26,10 @@ ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 
 
+#: A date as WARC/1.1 takes it: a year at least, up to fractions of a second in UTC.
+DATE = re.compile(r"\d{4}(?:-\d\d(?:-\d\d(?:T\d\d:\d\d(?::\d\d(?:\.\d{1,9})?)?Z)?)?)?")
+
+
 class WarcError(ValueError):
     """An archive that is not as the format demands."""
 
@@ -53,7 +59,7 @@ def record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of a record; raises WarcError unless version, header lines, length and end all hold."""
+    """Header fields (names in lower case) and block of a record; raises WarcError unless version, header lines, mandatory fields, length and end all hold."""
     top, sep, rest = raw.partition(b"\r\n\r\n")
     lines = top.decode("utf-8", "strict").split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -63,10 +69,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
         k, colon, v = line.partition(":")
         if not colon or not k.strip():
             raise WarcError(f"bad header line {line!r}")
-        fields[k.strip().lower()] = v.strip()
-    for k in ("warc-type", "warc-record-id", "content-length"):
+        k = k.strip().lower()
+        if k in fields and k != "warc-concurrent-to":
+            raise WarcError(f"{k} twice")
+        fields[k] = v.strip()
+    for k in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if k not in fields:
             raise WarcError(f"no {k}")
+    if not DATE.fullmatch(fields["warc-date"]):
+        raise WarcError(f"bad date {fields['warc-date']!r}")
     n = int(fields["content-length"]) if fields["content-length"].isdigit() else -1
     if n < 0 or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError("the length does not hold")
@@ -112,7 +123,7 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def write_archives(records: DataFrame, dictionary: bytes, where: str) -> DataFrame:
+def write_archives(records: DataFrame, dictionary: bytes, where: str, date: str) -> DataFrame:
     """Write rows (kind, id, url, digest, refers, frame) as archives below `where`; returns the manifest (path, records, bytes).
 
     frame: a compressed response record, used as it is; rows without one become revisit records. A task writes under a
@@ -144,7 +155,7 @@ def write_archives(records: DataFrame, dictionary: bytes, where: str) -> DataFra
                     done.append([f"{where}/{name}", 0, 8 + len(dictionary)])
                 frame = r["frame"]
                 if frame is None:
-                    frame = ctx.compress(record("revisit", _fields(r["id"], r["url"], r["digest"], r["size"], r["refers"]), b""))
+                    frame = ctx.compress(record("revisit", _fields(date, r["id"], r["url"], r["digest"], r["size"], r["refers"]), b""))
                 out.write(frame)
                 done[-1][1] += 1
                 done[-1][2] += len(frame)
@@ -154,10 +165,10 @@ def write_archives(records: DataFrame, dictionary: bytes, where: str) -> DataFra
     return stored(records.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def _fields(page, url, digest, size, refers=None) -> dict[str, str]:
+def _fields(date, page, url, digest, size, refers=None) -> dict[str, str]:
     from urllib.parse import quote
 
-    out = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>"}
+    out = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date}
     if url is not None:
         out["WARC-Target-URI"] = quote(url, safe="".join(map(chr, range(33, 127))).replace("%", "")) if any(c in url for c in "\r\n") or not url.isascii() else url
     if page is not None:
@@ -168,17 +179,16 @@ def _fields(page, url, digest, size, refers=None) -> dict[str, str]:
     return out
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """(page_id, record_type, payload_digest, payload_bytes, refers_to, url, payload) of every record of the archives in the manifest.
+NAMES = ["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "url", "payload"]
+SHAPE = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, payload binary"
 
-    Each archive is streamed by one task; headers, lengths and the digests of responses are checked, and the number of
-    records must be the manifest's. Errors raise.
-    """
+
+def _read(manifest: DataFrame, payloads: bool) -> DataFrame:
     ship(manifest.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "url", "payload"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
         for b in batches:
             for m in b.to_pylist():
                 fs, path = _fs(m["path"])
@@ -191,22 +201,46 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         if kind == "response" and (len(block) != size or hashlib.sha256(block).hexdigest() != own):
                             raise WarcError(f"{path}: the payload does not fit its digest or length")
                         page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
-                        rows.append((page and int(page), kind, own, size, refers and int(refers), h.get("warc-target-uri"), block if kind == "response" else None))
+                        if kind == "revisit" and (refers is None or block):
+                            raise WarcError(f"{path}: a revisit names no response or has a payload")
+                        rows.append((page and int(page), kind, own, size, refers and int(refers), h.get("warc-target-uri"), block if payloads and kind == "response" else None))
                         held += len(block)
                         if held > 4 << 20 or len(rows) >= 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            yield batch(rows)
                             rows, held = [], 0
                 if n != m["records"]:
                     raise WarcError(f"{path}: {n} records, not {m['records']}")
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch(rows)
 
     tasks = max(1, manifest.count())
-    spread = manifest.repartition(min(tasks, 100_000), "path")
-    return spread.mapInArrow(run, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, url string, payload binary")
+    return manifest.repartition(min(tasks, 100_000), "path").mapInArrow(run, SHAPE)
+
+
+def read_index(manifest: DataFrame) -> DataFrame:
+    """(page_id, record_type, payload_digest, payload_bytes, refers_to, url) of every record of the archives in the manifest, stored.
+
+    Each archive is streamed by one task; headers, lengths and the digests of responses are checked, and the number of
+    records must be the manifest's. Then each revisit must name a response of its own digest and length. Errors raise.
+    Repeated page_ids are records of their own; no archives give no rows.
+    """
+    index = stored(_read(manifest, False).drop("payload"), "warc-index")
+    # Revisits of one response are one row before they meet the responses, however many they are.
+    claimed = index.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    known = index.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    wrong = claimed.join(known, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").head(1)
+    if wrong:
+        raise WarcError(f"a revisit names page {wrong[0]['refers_to']}, which is no response of its digest and length")
+    return index
+
+
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """read_index's rows, checked likewise, with payload (null for revisits)."""
+    read_index(manifest)
+    return _read(manifest, True)
 
 
-def archive(pages: DataFrame, where: str | None = None, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def archive(pages: DataFrame, where: str | None = None, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Write one record per row of pages into archives below `where` (default: in the shared folder) and return the manifest.
 
     Payload: the html in UTF-8, empty for null. Of rows with equal payloads of MIN_REVISIT bytes or more, those with the
@@ -214,12 +248,14 @@ def archive(pages: DataFrame, where: str | None = None, page_col: str = "page_id
 
     Responses are compressed where they are read, so the shuffle that tells revisits from responses moves frames and not
     pages; the smallest ids by digest are summed up before they are shuffled, and the join can split a hot digest.
+    date (now, if not given) is every record's. An empty table gives an empty manifest; other columns do not matter.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     spark: SparkSession = pages.sparkSession
     ship(spark)
     where = where or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    html: Column = F.coalesce(F.col(html_col), F.lit(""))
-    p = pages.select(F.col(page_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("payload"))
+    html: Column = F.coalesce(col(html_col), F.lit(""))
+    p = pages.select(col(page_col).cast("long").alias("id"), col(url_col).alias("url"), F.encode(html, "UTF-8").alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     sample = pages.select(F.substring(html, 1, SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect()
     dictionary = train([r[0].encode() for r in sample])
@@ -231,11 +267,11 @@ def archive(pages: DataFrame, where: str | None = None, page_col: str = "page_id
 
         ctx = z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(dictionary)) if dictionary else z.ZstdCompressor(level=LEVEL)
         for b in batches:
-            frames = [ctx.compress(record("response", _fields(r["id"], r["url"], r["digest"], r["size"]), r["payload"])) for s in range(0, b.num_rows, 64) for r in b.slice(s, 64).to_pylist()]
+            frames = [ctx.compress(record("response", _fields(date, r["id"], r["url"], r["digest"], r["size"]), r["payload"])) for s in range(0, b.num_rows, 64) for r in b.slice(s, 64).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), b.column("digest"), b.column("size"), pa.array(frames, pa.binary())], ["id", "url", "digest", "size", "frame"])
 
     frames = p.mapInArrow(squeeze, "id long, url string, digest string, size long, frame binary")
     joined = frames.join(firsts, F.col("digest") == F.col("d"), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = joined.select("id", "url", "digest", "size", F.when(again, F.col("first")).alias("refers"), F.when(~again, F.col("frame")).alias("frame"))
-    return write_archives(rows, dictionary, where)
+    return write_archives(rows, dictionary, where, date)

@@ -143,26 +143,6 @@ def test_entropy_is_that_of_the_window(spark):
         assert (row["h"]["lo"], row["h"]["hi"]) == ((h[0], h[-1]) if h else (-1, -1))
 
 
-def test_warc(tmp_path, spark):
-    from latticework.llm import warc
-
-    html = "<html>" + "text " * 50
-    pages = spark.createDataFrame([(1, "http://a/ü", html, 1), (2, None, html, 2), (3, "u", "short", 3), (4, "u", "short", 4), (5, "u", None, 5), (None, "u", html, 6)], "page_id long, url string, html string, digest int")
-    m = warc.archive(pages, f"file://{tmp_path}/w")
-    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], bytes(r["payload"] or b"").decode()) for r in warc.read_archives(m).collect()}
-    n = len(html)
-    assert got == {1: ("response", None, n, html), 2: ("revisit", 1, n, ""), 3: ("response", None, 5, "short"), 4: ("response", None, 5, "short"), 5: ("response", None, 0, ""), None: ("revisit", 1, n, "")}
-    assert warc.read_archives(warc.archive(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
-    path = m.first()["path"].removeprefix("file://")
-    raw = open(path, "rb").read()
-    open(path, "wb").write(raw[:-3])
-    with pytest.raises(Exception, match="cut off|WarcError"):
-        warc.read_archives(m).collect()
-    for bad in (b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", warc.record("response", {"WARC-Record-ID": "x"}, b"abc")[:-1], b"HTTP/1.1\r\n\r\n"):
-        with pytest.raises(warc.WarcError):
-            warc.parse(bad)
-
-
 def test_url_filter(spark):
     from latticework.llm.url_filter import rules_frame, url_filter
 
