@@ -159,31 +159,6 @@ def test_url_filter(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, *want)
 
 
-def test_html():
-    from latticework.llm.html_extract import labelled_pages, leaf_blocks, main_text, model
-
-    crf = model()
-    right = words = hit = found = 0
-    for html, main in (pages := labelled_pages(150, seed=99)):
-        got = main_text(html, crf)
-        right += got == "\n".join(main)
-        a, b = Counter(got.split()), Counter(" ".join(main).split())
-        hit, found, words = hit + sum((a & b).values()), found + sum(a.values()), words + sum(b.values())
-    assert right >= 0.9 * len(pages) and hit >= 0.98 * words and hit >= 0.98 * found, (right, hit / words, hit / found)
-    for bad in ("", None, "<", "<<<>>>", "<p", "</p></div>", "<!--", "<script>", "<b><p>x<i>", "a" * 100_000, "<div>" * 3000, '<a href="' * 500):
-        main_text(bad, crf)
-    assert [b.text for b in leaf_blocks("<ul><li>a&amp;b <b>c</b>d<li>e\n f</ul>g<p>h<br>i")] == ["a&b cd", "e f", "g", "h i"]
-
-
-def test_html_of_the_table(spark):
-    """In the invented pages at hand the main text is what stands in the article tag."""
-    from latticework.llm.html_extract import extract, leaf_blocks
-
-    for r in extract(spark.read.parquet(f"{SF}/pages.parquet"), "html").join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
-        inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
-        assert r["text"] == "\n".join(b.text for b in leaf_blocks(inside))
-
-
 def test_pipeline_stages(spark):
     """Each stage on its own input: what it drops, keeps and changes."""
     import corpus_pipeline as p
