@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import col, fresh
 
 #: (host, path, action) of the production rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -41,7 +41,8 @@ def url_filter(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     label counts and path lengths that occur among the rules, so the number of expressions per url is
     bounded by the rule set and not by the url. Expressions meet rules on the first 8 hex digits of
     SHA-256; full digests confirm. Null urls and urls without :// have host and path empty and meet
-    no rule. Repeated rows stay, empty tables give empty results, other columns pass through.
+    no rule. Repeated rows stay, an empty table gives an empty one, other columns pass through, whatever their names. An empty
+    set of rules fits nothing. A hot host or url is one row before it meets the rules, and a split join brings verdicts back.
     """
     r = (
         rules.where(F.col("host").isNotNull() & (F.col("host") != ""))
@@ -54,14 +55,14 @@ def url_filter(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     facts = r.agg(
         F.count("*").alias("n"), F.collect_set(F.size(F.split("rh", "\\."))).alias("labels"), F.collect_set(F.length("rp")).alias("lengths")
     ).first()
-    host, path = host_path(F.col(url_col))
-    base = without(df, ["host", "path", "rule", "verdict"]) if url_col not in ("host", "path", "rule", "verdict") else df.withColumnRenamed(url_col, "url__")
-    if base.columns != df.columns and url_col not in base.columns:
-        host, path = host_path(F.col("url__"))
-        base = without(base, ["host", "path", "rule", "verdict"])
-    base = base.withColumns({"host": host, "path": path})
+    added = ["host", "path", "rule", "verdict"]
+    passed = [c for c in df.columns if c.lower() not in added]
+    url, *own = fresh(added, "url", *[f"c{i}" for i in range(len(passed))])  # names of other columns mean nothing on the way
+    base = df.select(col(url_col).alias(url), *[col(c).alias(n) for c, n in zip(passed, own, strict=True)])
+    host, path = host_path(F.col(url))
+    base = base.withColumns({"host": host, "path": path}).drop(url)
     if facts["n"] == 0:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).toDF(*passed, *added)
     keys = base.select("host", "path").where(F.col("host") != "").distinct()
     labels, n = F.split("host", "\\."), F.size(F.split("host", "\\."))
     counts = F.array(*[F.lit(c) for c in sorted(facts["labels"])])
@@ -90,4 +91,4 @@ def url_filter(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
     )
     out = base.join(best, ["host", "path"], "left")
-    return out.select(*[c for c in base.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return out.select(*own, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")).toDF(*passed, *added)
