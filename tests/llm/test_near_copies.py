@@ -60,7 +60,8 @@ def test_near_copies(spark):
 
 def pairs_of(texts, words=5, similarity=0.8):
     """All pairs of different texts at or above the similarity, through every shared shingle."""
-    sets = [{tuple(t.split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in texts]
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in split]
     inverse, out = {}, set()
     for i, s in enumerate(sets):
         seen = Counter(j for x in s for j in inverse.get(x, ()))
