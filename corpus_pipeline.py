@@ -1,4 +1,8 @@
-"""A corpus pipeline: quality rules, near copies, secrets, mixing, token ids. Each stage maps documents to documents."""
+"""A corpus pipeline: quality rules, near copies, secrets, mixing, token ids. Each stage maps documents to documents.
+
+All stages take an empty table and give an empty one, keep columns beside those of documents, and treat each row by itself
+where rows or ids repeat; what a stage does with null texts and ties stands with it.
+"""
 
 from __future__ import annotations
 
@@ -14,18 +18,18 @@ from latticework.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts fail them."""
     ratios = log_ratios(docs.select("doc_id", "text"), trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return keep_good(docs, ratios)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the least id; texts without words, null ones too, all stay."""
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows."""
+    """All documents, secrets in their texts replaced by a mark; n_chars follows. Null texts stay null."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
