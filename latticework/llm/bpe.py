@@ -6,6 +6,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +72,12 @@ class WordCodec:
         return [i for part in self.find(word) for i in self.parts[part]]
 
 
+@cache
+def codec_of(path: str) -> WordCodec:
+    """The codec, read once in a process: a Python worker runs many tasks."""
+    return WordCodec(path)
+
+
 class Memo(dict):
     """What make gives for a key, remembered for up to `most` keys before it starts anew."""
 
@@ -99,19 +106,23 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def split_words(d: DataFrame, path: str, text_col: str, where: str, chunk_chars: int) -> DataFrame:
-    """(chunk, number, word): the distinct words of each chunk of texts, stored; and a row of number -1 for each chunk.
+def split_words(d: DataFrame, path: str, text_col: str, where: str, chunk_chars: int, buckets: int) -> DataFrame:
+    """(chunk, bucket, words): the distinct words of each chunk of texts by hash bucket, packed, stored. A chunk without words has one row, of bucket -1.
 
-    A chunk's other columns and, for each text, the numbers of its words in order go into the file `where`/chunk. Chunks
-    are numbered by task attempt, so only files of attempts whose rows were stored are ever read.
+    A chunk's other columns, the numbers of each text's words in order, and the bucket of each word, all compressed, go into the
+    file `where`/chunk. Words are numbered as they appear; in a bucket they keep that order, so no number travels with
+    them. Chunks are named by task attempt, so only files of attempts whose rows were stored are ever read.
     """
     at = d.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
         import numpy as np
+        import zstandard as z
         from pyspark import TaskContext
 
-        codec, seq = WordCodec(path), 0
+        codec, seq, pack = codec_of(path), 0, z.ZstdCompressor(level=3).compress
         fs, top = _fs(where)
         fs.create_dir(top, recursive=True)
         numbers, places, held, chars = Numbers(), [], [], 0
@@ -120,25 +131,29 @@ def split_words(d: DataFrame, path: str, text_col: str, where: str, chunk_chars:
             nonlocal seq, numbers, places, held, chars
             chunk = TaskContext.get().taskAttemptId() << 20 | seq
             seq += 1
+            bucket = np.fromiter((crc32(w.encode()) % buckets for w in numbers), "<u4", len(numbers))
             table = pa.Table.from_batches(held).append_column("places", pa.array(places, pa.large_binary()))
             out = io.BytesIO()
-            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
+            for part in (table, pa.table({"bucket": pa.array([_planes(bucket)], pa.large_binary())})):
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(part)
             with fs.open_output_stream(f"{top}/{chunk}", compression=None) as f:
                 f.write(out.getvalue())
-            n = len(numbers)
-            made = [pa.array(np.full(n + 1, chunk), pa.int64()), pa.array(np.arange(-1, n), pa.int32()), pa.array(["", *numbers], pa.string())]
+            words, order = list(numbers), np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(words)]
+            packed = [pack(" ".join([words[i] for i in order[a:b].tolist()]).encode()) for a, b in zip(starts.tolist(), ends, strict=True)] if words else [b""]
+            made = [pa.array([chunk] * len(packed), pa.int64()), pa.array(found.tolist() if words else [-1], pa.int32()), pa.array(packed, pa.binary())]
             numbers, places, held, chars = Numbers(), [], [], 0
-            return pa.RecordBatch.from_arrays(made, ["chunk", "number", "word"])
+            return pa.RecordBatch.from_arrays(made, ["chunk", "bucket", "words"])
 
         for whole in batches:
             start = 0
             for i, t in enumerate(whole.column(at)):
-                words = codec.words(t.as_py() or "")
-                found = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
-                # The bytes of a number apart: the high ones are nearly all 0 and compress away.
-                places.append(np.ascontiguousarray(found.view("u1").reshape(-1, 4).T).tobytes())
-                chars += len(t.as_py() or "")
+                text = t.as_py() or ""
+                words = codec.words(text)
+                places.append(_planes(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))))
+                chars += len(text)
                 if chars >= chunk_chars:
                     held.append(_rest(whole.slice(start, i + 1 - start), at))
                     start = i + 1
@@ -149,7 +164,20 @@ def split_words(d: DataFrame, path: str, text_col: str, where: str, chunk_chars:
             yield rows()
 
     plain = d.toDF(*[f"c{i}" for i in range(len(d.columns))])  # mapInArrow itself stumbles over dots in names
-    return stored(plain.mapInArrow(run, "chunk long, number int, word string"), "bpe-words")
+    return stored(plain.mapInArrow(run, "chunk long, bucket int, words binary"), "bpe-words")
+
+
+def _planes(numbers) -> bytes:
+    """Numbers of four bytes, these apart: the high ones are nearly all 0 and compress away."""
+    import numpy as np
+
+    return np.ascontiguousarray(numbers.view("u1").reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _rest(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -158,74 +186,95 @@ def _rest(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, pa.nulls(batch.num_rows)], [*map(str, range(len(cols))), "end"])
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, number, ids, first) of words (chunk, number, word): each distinct word is encoded once, in the row marked first.
+def encode_words(words: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(chunk, bucket, ids, used, made) of words (chunk, bucket, words): each distinct word of all chunks is encoded once.
 
-    Rows of a word meet in one task, next to each other. A word has one row for a chunk, so the most frequent word has
-    no more rows than there are chunks, and they stream by.
+    ids: packed, how many each word has and then all in a row. used: the distinct ids. made: words encoded for this row. The
+    rows of a bucket, one for each chunk, stream through one task, which remembers that bucket's distinct words alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, now, ids = WordCodec(path), None, []
-        for b in batches:
-            out, first = [], []
-            for w in b.column(2).to_pylist():
-                first.append(w != now)
-                if w != now:
-                    now, ids = w, codec.ids(w)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32())), pa.array(first)], ["chunk", "number", "ids", "first"])
+        import numpy as np
+        import zstandard as z
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, number int, ids array<int>, first boolean")
+        codec, pack, unpack = codec_of(path), z.ZstdCompressor(level=3).compress, z.ZstdDecompressor().decompress
+        now, known = None, Memo(codec.ids, 1 << 62)
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                part, out = b.slice(start, 64), []
+                for bucket, packed in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if bucket != now:
+                        now = bucket
+                        known.clear()
+                    before = len(known)
+                    ids = list(map(known.__getitem__, unpack(packed).decode().split(" "))) if packed else []
+                    flat = np.array([i for x in ids for i in x], "<u4")
+                    sizes = np.array([len(x) for x in ids], "<u4")
+                    head = len(sizes).to_bytes(4, "little")
+                    out.append((head + pack(_planes(sizes) + _planes(flat)), np.unique(flat).astype(np.int32), len(known) - before))
+                done = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.list_(pa.int32()), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *done], ["chunk", "bucket", "ids", "used", "made"])
+
+    return words.repartition(-(-buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket int, ids binary, used array<int>, made int")
 
 
 def pieces(spark, path: str) -> DataFrame:
     """(id, piece) of the tokenizer's vocabulary: as many rows as it has ids, whatever the corpus."""
-    return spark.createDataFrame(sorted(WordCodec(path).pieces.items()), "id int, piece string")
+    return spark.createDataFrame(sorted(codec_of(path).pieces.items()), "id int, piece string")
 
 
 def bpe(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """df without text_col, with n_tokens, ids_sha256, decoded_sha256 (and ids array<int>, decoded string if keep_ids), which replace columns of these names.
 
     Texts are split into words at white space and stored as numbers of the distinct words of their chunk. The distinct
-    words of all chunks meet by word, and each is encoded once; its ids go back to the chunks by word number, where each
-    text's ids are put together by position. Decoding joins the distinct ids of a chunk to their pieces and puts these
+    words of all chunks meet by hash bucket, packed, and each is encoded once; the ids go back to the chunks, where each
+    text's are put together by position. Decoding joins the distinct ids of a chunk to their pieces and puts these
     together by position, with spaces between, as the file names no decoder.
 
     Null and empty texts have no ids and an empty decoded text; an empty table gives an empty one; repeated rows each have
-    a result; other columns pass through, whatever their names. Whole texts of any length. Memory goes by the chunk: its
-    distinct words, and the positions of its texts.
+    a result; other columns pass through, whatever their names. Whole texts of any length. Memory goes by the chunk (its
+    distinct words, and the positions of its texts) and by the bucket (its distinct words): there are four buckets for each
+    shuffle partition that the session asks for.
     """
     spark = df.sparkSession
     ship(spark)
     d = without(df, [c for c in ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids if c != text_col.lower()])
     passed = [f for f in d.schema.fields if f.name != text_col]
     where = f"{shared_dir(spark)}/bpe-places-{uuid.uuid4().hex}"
-    words = split_words(d, path, text_col, where, chunk_chars)
-    encoded = encode_words(words, path).drop("first").repartition("chunk")
-    used = encoded.select(F.col("chunk").alias("of"), F.explode("ids").alias("id")).distinct()
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = split_words(d, path, text_col, where, chunk_chars, buckets)
+    encoded = encode_words(words, path, buckets).drop("made").repartition("chunk")
+    used = encoded.select(F.col("chunk").alias("of"), F.explode("used").alias("id")).distinct()
     named = used.join(F.broadcast(pieces(spark, path)), "id").select("of", "id", "piece")
 
     def join(words: pa.Table, named: pa.Table) -> pa.Table:
         import numpy as np
+        import zstandard as z
 
+        unpack = z.ZstdDecompressor().decompress
         chunk = words["chunk"][0].as_py()
         fs, top = _fs(where)
         with fs.open_input_stream(f"{top}/{chunk}", compression=None) as f:
-            texts = pa.ipc.open_stream(f.read()).read_all()
-        words = words.sort_by("number").slice(1).combine_chunks()  # behind the row of number -1
-        ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        flat, sizes = ids.flatten().to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy()).astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
+            file = pa.BufferReader(f.read())
+        texts = pa.ipc.open_stream(file).read_all()
+        bucket = _numbers(pa.ipc.open_stream(file).read_all()["bucket"][0].as_py())
+        flat, sizes = [], []
+        for packed in words.sort_by("bucket")["ids"].to_pylist():
+            n = int.from_bytes(packed[:4], "little")
+            raw = unpack(packed[4:])
+            sizes.append(_numbers(raw[: 4 * n]))
+            flat.append(_numbers(raw[4 * n :]))
+        # Words come by bucket, and by number within; back to the order of their numbers.
+        order, by_bucket = np.argsort(bucket, kind="stable"), np.concatenate(sizes)
+        flat, sizes, begins = np.concatenate(flat), np.empty_like(by_bucket), np.empty_like(by_bucket)
+        sizes[order], begins[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
         piece = dict(zip(named["id"].to_pylist(), named["piece"].to_pylist(), strict=True))
         spelled = [piece[i] for i in flat.tolist()]
         # A word's pieces as one string; a word of no ids would leave no trace.
         by_word = [" ".join(spelled[a : a + n]) for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
         n_tokens, enc, dec, own, decoded = [], [], [], [], []
         for raw in texts["places"]:
-            planes = np.frombuffer(raw.as_buffer(), "u1").reshape(4, -1)
-            at = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+            at = _numbers(raw.as_py())
             at = at[sizes[at] > 0]
             n = sizes[at]
             ends = np.cumsum(n)

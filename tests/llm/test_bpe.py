@@ -67,10 +67,12 @@ def test_each_word_is_encoded_once(spark):
     ship(spark)
     path = P.path("word_bpe_49k.json")
     d = spark.createDataFrame(texts(), "doc_id long, text string").repartition(4)
-    words = B.split_words(d, path, "text", f"{shared_dir(spark)}/places-of-a-test", 20_000)
-    done = B.encode_words(words, path)
-    assert words.where("number < 0").count() > 4 and words.groupBy("chunk", "number").count().where("count > 1").count() == 0
-    assert done.where("first").count() == words.select("word").distinct().count() < done.count() == words.count()
+    words = B.split_words(d, path, "text", f"{shared_dir(spark)}/places-of-a-test", 20_000, 5)
+    done = B.encode_words(words, path, 5).collect()
+    codec = B.WordCodec(path)
+    every = {w for _, t in texts() for w in codec.words(t or "")}
+    assert words.select("chunk").distinct().count() > 4 and words.groupBy("chunk", "bucket").count().where("count > 1").count() == 0
+    assert sum(r["made"] for r in done) == len(every) and len(done) == words.count()
 
 
 def test_ids_reach_chunks_by_one_shuffle(spark):
