@@ -244,7 +244,9 @@ def bpe(df: DataFrame, path: str, text_col: str = "text", keep_ids: bool = True,
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = split_words(d, path, text_col, where, chunk_chars, buckets)
     encoded = encode_words(words, path, buckets).drop("made").repartition("chunk")
-    used = encoded.select(F.col("chunk").alias("of"), F.explode("used").alias("id")).distinct()
+    # All columns are named here, so that both readers have the same shuffle in common and words are not encoded for each.
+    whole = F.when(F.col("ids").isNotNull() & (F.col("bucket") >= -1), F.col("used"))
+    used = encoded.select(F.col("chunk").alias("of"), F.explode(whole).alias("id")).distinct()
     named = used.join(F.broadcast(pieces(spark, path)), "id").select("of", "id", "piece")
 
     def join(words: pa.Table, named: pa.Table) -> pa.Table:

@@ -86,4 +86,5 @@ def test_ids_reach_chunks_by_one_shuffle(spark):
     out.write.format("noop").mode("overwrite").save()
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "ReusedExchange" in plan, plan
+    final = plan.split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and "ReusedExchange" in final and final.count("MapInArrow") == 1, plan
