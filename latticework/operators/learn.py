@@ -6,11 +6,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import cumulative
 
-def split(df: DataFrame, key: str, seed: int, test_percent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key, so a query or template falls on one side."""
+
+def split(df: DataFrame, key: str, seed: int, test_percent: int = 20, kind: str = "query", custom: list[str] | None = None, val_percent: int = 0) -> tuple[DataFrame, ...]:
+    """Train and test rows, and with val_percent validation rows, each query or template on one side.
+
+    kind query or template: by a hash of the key; custom: the test rows are those of the keys given.
+    """
+    if kind == "custom":
+        inside = F.col(key).isin(custom or [])
+        return df.where(~inside), df.where(inside)
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    return df.where(h >= test_percent), df.where(h < test_percent)
+    parts = (df.where(h >= test_percent + val_percent), df.where(h < test_percent))
+    return (*parts, df.where((h >= test_percent) & (h < test_percent + val_percent))) if val_percent else parts
 
 
 def fit_trees(train: DataFrame, features: list[str], label: str, kind: str = "rf", seed: int = 1, trees: int = 100, depth: int = 10):
@@ -24,12 +33,18 @@ def fit_trees(train: DataFrame, features: list[str], label: str, kind: str = "rf
 
 
 def energy_rank(values: DataFrame, share: float = 0.9) -> DataFrame:
-    """Cumulative share of descending values and the first rank above `share`."""
-    from pyspark.sql import Window
+    """The first rank, by descending value, at which the cumulative share of all values is above `share`."""
+    d = cumulative(values.select("id", "v"), "v", F.desc("v"), "id")
+    total = values.agg(F.sum("v")).first()[0] or 0.0
+    return d.where(F.col("running") / total > share).agg((F.min("rn") + 1).cast("long").alias("rank"))
+
+
+def hard_threshold(values: list[float], rows: int, columns: int) -> float:
+    """Singular values below this are noise: their median times omega of the matrix's aspect ratio."""
+    import numpy as np
 
-    w = Window.orderBy(F.desc("v"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    d = values.select("id", "v", (F.sum("v").over(w) / F.sum("v").over(Window.partitionBy(F.lit(0)))).alias("cum"), F.row_number().over(Window.orderBy(F.desc("v"), "id")).alias("rank"))
-    return d.where(F.col("cum") > share).agg(F.min("rank").cast("long").alias("rank"))
+    b = min(rows, columns) / max(rows, columns)
+    return float(np.median(values) * (0.56 * b**3 - 0.95 * b**2 + 1.82 * b + 1.43))
 
 
 def svd(spark: SparkSession, cells: DataFrame, k: int) -> DataFrame:
@@ -46,10 +61,12 @@ def svd(spark: SparkSession, cells: DataFrame, k: int) -> DataFrame:
 
 
 def complete(cells: DataFrame, rank: int = 4, seed: int = 1) -> DataFrame:
-    """Missing values of a matrix by alternating least squares over the known cells (i, j, v)."""
+    """(i, j, v, value): every cell of the matrix of known cells (i, j, v), by alternating least squares; v is null where unknown."""
     from pyspark.ml.recommendation import ALS
 
-    return ALS(rank=rank, userCol="i", itemCol="j", ratingCol="v", seed=seed, maxIter=15, regParam=0.02).fit(cells).transform(cells)
+    model = ALS(rank=rank, userCol="i", itemCol="j", ratingCol="v", seed=seed, maxIter=15, regParam=0.02).fit(cells)
+    every = model.recommendForAllUsers(model.itemFactors.count()).select("i", F.explode("recommendations").alias("r")).select("i", F.col("r.j").alias("j"), F.col("r.rating").cast("double").alias("value"))
+    return every.join(cells, ["i", "j"], "left").select("i", "j", "v", "value")
 
 
 def flow(edges: pd.DataFrame):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from ..functions.scalars import sha1_bucket
 from ..plans.sqlfront import Graph
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 
 def column_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
@@ -48,39 +49,61 @@ def bitmap(sample: DataFrame, key: str, predicate: str) -> DataFrame:
     return sample.where(predicate).agg(F.array_sort(F.collect_set(key)).alias("bits"))
 
 
+#: Steps of a hashed choice: more than rows of a key, or choices among many rows are uneven.
+STEPS = 2**31 - 1
+
+
 def wander(spark: SparkSession, sf_dir: str, g: Graph, path: list[str], walks: int, seed: int, compat_tree: bool = False) -> DataFrame:
-    """(est, half_interval, n_walks): Horvitz-Thompson estimate of COUNT(*) from random walks along a path of aliases.
+    """(subplan, est, half_interval, n_walks) by prefix of a path of aliases: Horvitz-Thompson estimates of COUNT(*) from random walks.
 
     All walks step together: a walk meets its key's row count, picks a row number, and meets that row; its weight grows
     by the count. Dead ends weigh 0. Edges that close a cycle must hold, else the walk weighs 0 (compat_tree: ignored).
     """
-    def numbered(alias: str, col: str | None) -> DataFrame:
+    def filtered(alias: str) -> DataFrame:
         d = table(spark, sf_dir, g.tables[alias]).alias(alias)
         for p in g.preds.get(alias, []):
             d = d.where(p)
         cols = sorted({j.left[1] if j.left[0] == alias else j.right[1] for j in g.joins if alias in (j.left[0], j.right[0])})
-        d = d.select(*[F.col(c).alias(f"{alias}__{c}") for c in cols])
-        from pyspark.sql import Window
-
-        part = Window.partitionBy(f"{alias}__{col}" if col else F.lit(0))
-        return d.withColumn("rn", F.row_number().over(part.orderBy(*[f"{alias}__{c}" for c in cols])) - 1).withColumn("cnt", F.count("*").over(part))
-
-    start = numbered(path[0], None).withColumnRenamed("cnt", "w")
-    size = start.select("w").limit(1)
-    w = spark.range(walks).crossJoin(F.broadcast(size)).withColumn("rn", F.floor(F.rand(seed) * F.col("w")))  # one row: the table's count
-    w = w.join(start.drop("w"), "rn").drop("rn").withColumn("w", F.col("w").cast("double"))
-    seen = [path[0]]
+        return d.select(*[F.col(c).alias(f"{alias}__{c}") for c in cols])
+
+    def reached(alias: str, col: str, keys: DataFrame) -> DataFrame:
+        """The rows that walks can step to, numbered within their key: only of keys that walks hold, which are no more than the walks."""
+        d = filtered(alias)
+        d = d.join(F.broadcast(keys), F.col(f"{alias}__{col}") == F.col("k"), "left_semi")
+        part = Window.partitionBy(f"{alias}__{col}")
+        return d.withColumn("rn", F.row_number().over(part.orderBy(*d.columns)) - 1).withColumn("cnt", F.count("*").over(part))
+
+    rows = numbered(filtered(path[0]))
+    size = rows.count()
+    pick = lambda step: sha1_bucket(F.concat_ws(" ", F.lit(f"{seed} {step}"), "walk"), STEPS) / F.lit(float(STEPS))
+    w = spark.range(walks).withColumnRenamed("id", "walk").withColumn("rn", F.floor(pick(0) * size)).withColumn("w", F.lit(float(size)))
+    w = stored(F.broadcast(w).join(rows, "rn").drop("rn"), "walks")
+    seen, out = [path[0]], []
     for step, alias in enumerate(path[1:], 1):
         edges = [(j.left, j.right) if j.right[0] == alias else (j.right, j.left) for j in g.joins if alias in (j.left[0], j.right[0]) and {j.left[0], j.right[0]} - {alias} <= set(seen)]
         (_, (_, col)), closing = edges[0], edges[1:]
         left = edges[0][0]
-        rows = numbered(alias, col)
+        rows = reached(alias, col, w.select(F.col(f"{left[0]}__{left[1]}").alias("k")).distinct())
         counts = rows.where("rn = 0").select(F.col(f"{alias}__{col}").alias("k"), "cnt")
-        w = w.join(counts, F.col(f"{left[0]}__{left[1]}") == F.col("k")).drop("k").withColumn("pick", F.floor(F.rand(seed + step) * F.col("cnt"))).withColumn("w", F.col("w") * F.col("cnt")).drop("cnt")
+        w = w.join(counts, F.col(f"{left[0]}__{left[1]}") == F.col("k")).drop("k").withColumn("pick", F.floor(pick(step) * F.col("cnt"))).withColumn("w", F.col("w") * F.col("cnt")).drop("cnt")
         w = w.join(rows.drop("cnt"), (F.col(f"{left[0]}__{left[1]}") == F.col(f"{alias}__{col}")) & (F.col("pick") == F.col("rn"))).drop("pick", "rn")
         for a, b in [] if compat_tree else closing:
             w = w.where(F.col(f"{a[0]}__{a[1]}") == F.col(f"{b[0]}__{b[1]}"))
         seen.append(alias)
-    n, mean = F.lit(float(walks)), F.coalesce(F.sum("w"), F.lit(0.0)) / walks
-    var = F.greatest(F.lit(0.0), F.coalesce(F.sum(F.col("w") ** 2), F.lit(0.0)) / n - mean * mean)
-    return w.agg(F.ceil(mean).cast("double").alias("est"), (2.576 * F.sqrt(var / n)).alias("half_interval")).withColumn("n_walks", F.lit(walks).cast("long"))
+        w = stored(w, "walks")
+        n, mean = F.lit(float(walks)), F.coalesce(F.sum("w"), F.lit(0.0)) / walks
+        var = F.greatest(F.lit(0.0), F.coalesce(F.sum(F.col("w") ** 2), F.lit(0.0)) / n - mean * mean)
+        out.append(w.agg(F.lit(" ".join(sorted(seen))).alias("subplan"), F.ceil(mean).cast("double").alias("est"), (2.576 * F.sqrt(var / n)).alias("half_interval")))
+    return reduce(DataFrame.unionByName, out).withColumn("n_walks", F.lit(walks).cast("long"))
+
+
+def find_path(g: Graph, cards: DataFrame) -> list[str]:
+    """Aliases for walks: first the one whose predicates drop most rows, then along joins, again by rows dropped; ties by name."""
+    lost = {r["subplan"]: r["total"] - r["actual"] if g.preds.get(r["subplan"]) else 0 for r in cards.where("n_tables = 1").collect()}
+    path = [max(g.tables, key=lambda a: (lost[a], a))]
+    while len(path) < len(g.tables):
+        near = set().union(*(g.neighbours(a) for a in path)) - set(path)
+        if not near:
+            break
+        path.append(max(near, key=lambda a: (lost[a], a)))
+    return path

@@ -23,8 +23,11 @@ def join_order(path: list[str]) -> list[str]:
     return [a for before, now in zip([set(), *sets], sets, strict=False) for a in sorted(now - before)]
 
 
-def ordered_sql(g: Graph, order: list[str], what: str = "COUNT(*)") -> str:
-    """The query as explicit joins in this order, which Spark keeps unless told to reorder joins. Each alias must join one before it."""
+def ordered_sql(g: Graph, order: list[str], what: str = "COUNT(*)", hints: dict[str, str] | None = None) -> str:
+    """The query as explicit joins in this order, which Spark keeps unless told to reorder joins. Each alias must join one before it.
+
+    hints: by alias, how it is joined (BROADCAST, MERGE, SHUFFLE_HASH, SHUFFLE_REPLICATE_NL).
+    """
     text, seen = f"{g.tables[order[0]]} AS {order[0]}", {order[0]}
     for a in order[1:]:
         on = sorted(j.sql() for j in g.joins if a in (j.left[0], j.right[0]) and {j.left[0], j.right[0]} - {a} <= seen)
@@ -33,7 +36,8 @@ def ordered_sql(g: Graph, order: list[str], what: str = "COUNT(*)") -> str:
         text += f" JOIN {g.tables[a]} AS {a} ON {' AND '.join(on)}"
         seen.add(a)
     conds = sorted([p for a in order for p in g.preds.get(a, [])] + [c for names, c in g.residual if names <= seen])
-    return f"SELECT {what} FROM {text}" + (" WHERE " + " AND ".join(conds) if conds else "")
+    hint = "/*+ " + ", ".join(f"{h}({a})" for a, h in hints.items()) + " */ " if hints else ""
+    return f"SELECT {hint}{what} FROM {text}" + (" WHERE " + " AND ".join(conds) if conds else "")
 
 
 def executed(paths: DataFrame) -> DataFrame:

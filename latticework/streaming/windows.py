@@ -16,7 +16,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed(stream: DataFrame, kind: str) -> DataFrame:
-    """Counts and sums by event type in tumbling or sliding windows, or by user in sessions; events over a day late are dropped."""
+    """Counts and sums by event type in tumbling or sliding windows, or by user in sessions. State is kept for ten years of event time, so that no event of the tables is late."""
     w = {"tumbling": F.window("ts", "1 hour"), "sliding": F.window("ts", "1 hour", "30 minutes"), "session": F.session_window("ts", "2 hours")}[kind]
     by = "user_id" if kind == "session" else "event_type"
     d = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "3650 days").groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))

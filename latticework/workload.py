@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import many
 from .functions import scalars as S
 from .operators import estimate as E
 from .operators import learn as L
-from .operators import nets as N
 from .operators import stats as ST
 from .plans import cover as C
 from .plans import execution as X
 from .plans import lattice as P
 from .plans import templates as T
 from .plans.sqlfront import parse, predicate_op
-from .sources.tables import memo, run_sql, sampled, table
+from .sources.tables import cached_sql, memo, run_sql, sampled, table
 from .streaming import windows as W
 
 #: The query whose lattice (24 subplans) the estimators, metrics and costs work on.
@@ -32,6 +32,11 @@ G, LEVELS = parse(TREE), 6
 SQL = {
     "spj_count_6way": TREE.replace("COUNT(*)", "COUNT(*) AS n", 1),
     "spj_cyclic": CYCLE.replace("COUNT(*)", "COUNT(*) AS n", 1),
+    "spj_count_16way": """SELECT COUNT(*) AS n FROM lineitem AS l, orders AS o, customer AS c, nation AS n1, region AS r1, supplier AS s, nation AS n2, region AS r2, part AS p,
+        lineitem AS l2, supplier AS s2, nation AS n3, region AS r3, part AS p2, customer AS c2, nation AS n4
+        WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n1.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND l.l_suppkey = s.s_suppkey AND s.s_nationkey = n2.n_nationkey
+        AND n2.n_regionkey = r2.r_regionkey AND l.l_partkey = p.p_partkey AND l2.l_orderkey = o.o_orderkey AND l2.l_suppkey = s2.s_suppkey AND s2.s_nationkey = n3.n_nationkey AND n3.n_regionkey = r3.r_regionkey
+        AND l2.l_partkey = p2.p_partkey AND c2.c_custkey = o.o_custkey AND c2.c_nationkey = n4.n_nationkey AND l.l_quantity > 30 AND p.p_size <= 20 AND p2.p_size > 20 AND c.c_mktsegment IN ('BUILDING', 'MACHINERY') AND r1.r_name <> r2.r_name""",
     "spj_self_join": "SELECT COUNT(*) AS n FROM lineitem AS l1, lineitem AS l2, orders AS o WHERE l1.l_orderkey = o.o_orderkey AND l2.l_orderkey = o.o_orderkey AND l1.l_orderkey = l2.l_orderkey AND l1.l_quantity > 25 AND l2.l_discount < 0.05",
     "spj_theta_ne": "SELECT COUNT(*) AS n FROM customer AS c, orders AS o, lineitem AS l, supplier AS s WHERE c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey != s.s_nationkey",
     "spj_or_join": "SELECT COUNT(*) AS n FROM supplier AS s, nation AS n1, nation AS n2 WHERE n1.n_regionkey = n2.n_regionkey AND (s.s_nationkey = n1.n_nationkey OR s.s_nationkey = n2.n_nationkey)",
@@ -93,7 +98,7 @@ def spj_count_3way(spark, d):
 
 def pred_regex_trycast(spark, d):
     v = F.get_json_object("props", "$.k")
-    num = F.try_to_number(v, F.lit("999999")).cast("double")
+    num = v.try_cast("double")
     return table(spark, d, "events").where(v.rlike(r"^(?:[1-9]\d*|0)?(?:\.\d+)?$") & (num >= 10) & (num <= 60)).agg(F.count("*").alias("n"))
 
 
@@ -148,11 +153,8 @@ def subplan_totals(spark, d):
 
 
 def count_message_passing(spark, d):
-    out = None
-    for s in P._names(G):
-        one = P.count_message_passing(spark, d, G, s).select(F.lit(P.SEP.join(s)).alias("subplan"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All subplans at once, from messages of key counts; each table is read once."""
+    return P.tree_counts(spark, d, {"": G}).select("subplan", "n")
 
 
 def implied_predicates(spark, d):
@@ -257,22 +259,25 @@ def corr_est_true(spark, d):
     return _errors(spark, d).agg(F.round(F.corr("est", "actual"), 6).alias("r"))
 
 
-def constraints(spark, d):
-    """Primary-key and foreign-key constraints on the independence estimates."""
-    rows = []
+def _pk_edges():
+    """(child, added, other side's column): joins by which an edge adds a table through its primary key."""
+    out = []
     for s in P._names(G):
         for j in G.joins:
             for (a, ca), (b, cb) in ((j.left, j.right), (j.right, j.left)):
-                if a in s and b not in s:
-                    rows.append((P.SEP.join(s), b, cb in PK, f"{b}.{cb}"))
-    keys = spark.createDataFrame(rows, "child string, added string, by_key boolean, col string")
-    cols = sorted({(G.tables[r[1]], r[3].split(".")[1], r[1]) for r in rows if not r[2]})
-    freq = None
-    for t, c, a in cols:
-        one = table(spark, d, t).groupBy(c).count().agg(F.lit(f"{a}.{c}").alias("col"), F.max("count").cast("double").alias("f"))
-        freq = one if freq is None else freq.unionByName(one)
-    m = keys.join(freq, "col", "left").drop("col").withColumn("f", F.coalesce("f", F.lit(1.0)))
-    return E.constraint_errors(_links(spark), _est(spark, d), m).agg(F.sum("id_error").alias("id_errors"), F.sum("fk_error").alias("fk_errors"), F.count("*").alias("edges"))
+                if a in s and b not in s and cb in PK:
+                    out.append((P.SEP.join(s), b, G.tables[a], ca))
+    return out
+
+
+def constraints(spark, d):
+    """What the independence estimates break of primary and foreign keys."""
+    keys = spark.createDataFrame(_pk_edges(), "child string, added string, t string, c string")
+    most = None
+    for t, c in sorted({r[2:] for r in _pk_edges()}):
+        one = table(spark, d, t).groupBy(c).count().agg(F.lit(t).alias("t"), F.lit(c).alias("c"), F.max("count").alias("f"))
+        most = one if most is None else most.unionByName(one)
+    return E.constraint_errors(_links(spark), _est(spark, d), keys.join(F.broadcast(most), ["t", "c"]).drop("t", "c"))
 
 
 PK = {"n_nationkey", "c_custkey", "o_orderkey", "p_partkey", "s_suppkey", "r_regionkey"}
@@ -345,7 +350,39 @@ def relative_cost(spark, d):
 
 
 def wander_join(spark, d):
-    return ST.wander(spark, d, G, ["l", "o", "c", "n"], 4000, 11)
+    """Estimates of every prefix of the path that the single tables' selectivities choose."""
+    return ST.wander(spark, d, G, ST.find_path(G, _cards(spark, d)), 4000, 11)
+
+
+def plan_hints(spark, d):
+    """The query's count with the join order and each join's operator laid down."""
+    return run_sql(spark, d, X.ordered_sql(G, ["l", "o", "c", "n", "p", "s"], "COUNT(*) AS n", {"o": "MERGE", "c": "SHUFFLE_HASH", "n": "BROADCAST", "p": "SHUFFLE_HASH", "s": "BROADCAST"}))
+
+
+def cached_execute(spark, d):
+    """A query's rows, kept by its text: the second call reads them."""
+    return cached_sql(spark, d, SQL["having_count"])
+
+
+def source_edges(spark, d):
+    """The lattice with an edge from each single table to the source, as flow-loss and shortest paths take it."""
+    return P.with_source(_links(spark), _plans(spark)).select("parent", "child")
+
+
+def column_norms(spark, d):
+    """Mean and population deviation of each statistic over columns."""
+    c = ST.column_stats(spark, d, NORM_COLUMNS)
+    names = ("min_value", "max_value", "num_values", "total_values")
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")
+    return c.select(rows).groupBy("x.stat").agg(F.round(F.avg("x.v"), 4).alias("mean"), F.round(F.stddev_pop("x.v"), 4).alias("std"))
+
+
+NORM_COLUMNS = [("lineitem", "l_quantity"), ("orders", "o_totalprice"), ("part", "p_size"), ("customer", "c_nationkey")]
+
+
+def like_features(spark, d):
+    """A pattern's hashed uni-, bi- and trigrams, its length, and whether it holds a digit."""
+    return table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in S.like_features(F.col("p_type"), 8).items()])
 
 
 def hash_bucket(spark, d):
@@ -369,10 +406,19 @@ def join_onehot(spark, d):
     return _plans(spark).join(F.broadcast(j), F.lit(True)).select("subplan", "edge", (F.array_contains("nodes", F.col("a")) & F.array_contains("nodes", F.col("b"))).cast("long").alias("held"))
 
 
-def y_log_norm(spark, d):
-    c = _cards(spark, d)
-    ends = c.agg(F.min("actual").alias("lo"), F.max("actual").alias("hi"), F.lit(1).alias("one"))
-    return c.withColumn("one", F.lit(1)).join(ends, "one").select("subplan", F.round(S.normalize(F.col("actual"), "log", F.col("lo"), F.col("hi")), 6).alias("y"))
+def y_transforms(spark, d):
+    """Every label transform of the true counts, and back."""
+    c, one, y = _cards(spark, d), F.lit(1).alias("one"), F.col("actual")
+    ends = c.agg(F.min("actual").alias("lo"), F.max("actual").alias("hi"), F.avg("actual").alias("mean"), F.stddev_pop("actual").alias("std"), F.avg(F.log("actual")).alias("lmean"), F.stddev_pop(F.log("actual")).alias("lstd"),
+                 F.min(y / F.col("total")).alias("slo"), F.max(y / F.col("total")).alias("shi"), one)
+    c = c.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one")
+    out = []
+    for m in S.MODES:
+        share, logs = m == "selectivity", m == "logwhitening"
+        how = {"low": F.col("slo" if share else "lo"), "high": F.col("shi" if share else "hi"), "total": F.col("total"), "mean": F.col("lmean" if logs else "mean"), "std": F.col("lstd" if logs else "std")}
+        z = S.normalize(y, m, **how)
+        out.append(F.struct(F.lit(m).alias("mode"), F.round(z, 6).alias("y"), F.round(S.unnormalize(z, m, **how), 3).alias("back")))
+    return c.select("subplan", F.explode(F.array(*out)).alias("t")).select("subplan", "t.*")
 
 
 def log_bucket(spark, d):
@@ -407,46 +453,10 @@ def template_generated(spark, d):
     return spark.createDataFrame([(i, q) for i, q in enumerate(made)], "id long, sql string")
 
 
-def workload_mix(spark, d):
-    """Kinds of predicates by table over the two fixed queries; generated queries are not counted."""
-    rows = []
-    for q in [TREE, CYCLE]:
-        g = parse(q)
-        rows += [(g.tables[a], predicate_op(p)) for a, ps in g.preds.items() for p in ps]
-    return spark.createDataFrame(rows, "t string, kind string").groupBy("t", "kind").agg(F.count("*").alias("n"))
-
-
 def energy_rank(spark, d):
     return L.energy_rank(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.lit(1.0)).alias("v")))
 
 
-def _features(spark, d):
-    plans = _plans(spark)
-    f = plans.select("subplan", F.col("n_tables").cast("double").alias("k"), *[F.array_contains("nodes", a).cast("double").alias(f"in_{a}") for a in sorted(G.tables)])
-    return f.join(_errors(spark, d), "subplan").withColumn("logest", F.log("est")).withColumn("y", F.log(F.greatest(F.lit(1), F.col("actual"))))
-
-
-def _trees(kind, trees, depth):
-    def run(spark, d):
-        data, cols = _features(spark, d).cache(), ["k", "logest", *[f"in_{a}" for a in sorted(G.tables)]]
-        train, _ = L.split(data, "subplan", 1)
-        return L.fit_trees(train, cols, "y", kind, trees=trees, depth=depth).transform(data).select("subplan", F.exp("prediction").alias("est"))
-
-    return run
-
-
-def _net(sets):
-    """Estimates of a network fitted on the training share of the subplans."""
-
-    def run(spark, d):
-        cards, plans = _cards(spark, d), _plans(spark)
-        rows = N.set_features(G, plans, cards.where("n_tables = 1")).join(cards.select("subplan", "actual"), "subplan")
-        train, _ = L.split(rows, "subplan", 1)
-        return N.net_estimates(rows, *N.fit_net(train, "actual", "subplan", sets))
-
-    return run
-
-
 def path_cover(spark, d):
     return C.cover(spark, _plans(spark), _links(spark))
 
@@ -456,10 +466,11 @@ def greedy_cover(spark, d):
 
 
 def _cells(spark, d):
-    """Regions and segments of customers as a small matrix of log order counts."""
+    """Nations and segments of customers as a small matrix of log order counts; a segment's column is its place by name."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    m = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").cast("int").alias("i"), F.pmod(F.crc32(F.col("c_mktsegment").cast("binary")), F.lit(97)).cast("int").alias("j")).agg(F.log(F.count("*")).alias("v"))
-    return m.select(F.col("i"), F.col("j"), "v")
+    names = c.agg(F.sort_array(F.collect_set("c_mktsegment")).alias("names"))  # some five names
+    m = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").cast("int").alias("i"), "c_mktsegment").agg(F.log(F.count("*")).alias("v"))
+    return m.crossJoin(F.broadcast(names)).select("i", (F.array_position("names", F.col("c_mktsegment")) - 1).cast("int").alias("j"), "v")
 
 
 def svd_reconstruct(spark, d):
@@ -467,7 +478,7 @@ def svd_reconstruct(spark, d):
 
 
 def matrix_completion(spark, d):
-    return L.complete(_cells(spark, d)).select("i", "j", "v", F.col("prediction").cast("double").alias("value"))
+    return L.complete(_cells(spark, d))
 
 
 def flow_loss(spark, d):
@@ -477,7 +488,7 @@ def flow_loss(spark, d):
 
 
 def table_sample(spark, d):
-    return sampled(table(spark, d, "lineitem"), 10, 3).agg(F.count("*").alias("n"))
+    return sampled(table(spark, d, "orders"), 10, "o_orderkey").agg(F.count("*").alias("n"))
 
 
 def asof(spark, d):
@@ -495,16 +506,15 @@ FUNCTIONS = [
     spj_count_3way, pred_regex_trycast, col_stats, joinkey_stats, mcv_topk, percentile_summary, subplans, subplan_edges, node_degrees, cross_join_check, subplan_true_counts, subplan_totals,
     count_message_passing, implied_predicates, sample_bitmap, join_bitmap_intersection, est_true, est_true_rank, est_true_rank_tables, est_joinkeys, est_cbo, est_true_random, est_random, qerr, abs_err,
     rel_err, qerr_by_num_tables, metric_summary, corr_est_true, constraints, edge_cost_c, edge_cost_registry, plan_cost_opt, plan_cost_est, plan_path, relative_cost, wander_join, hash_bucket,
-    minmax_feature, like_ngrams, join_onehot, y_log_norm, log_bucket, clean_words, quantile_chunk, ilike_prefix_counts, template_generated, workload_mix, energy_rank, svd_reconstruct, matrix_completion,
+    minmax_feature, like_ngrams, join_onehot, y_transforms, log_bucket, clean_words, quantile_chunk, ilike_prefix_counts, template_generated, energy_rank, svd_reconstruct, matrix_completion,
     flow_loss, table_sample, asof, est_independence, path_cover, greedy_cover, mse, qerr_joinkey,
-    plan_forced_order, executed_subplans, plan_runtime, plan_graph,
+    plan_hints, cached_execute, source_edges, column_norms, like_features, plan_forced_order, executed_subplans, plan_runtime, plan_graph,
 ]
 
 
 def queries():
     out = {k: _sql(v) for k, v in SQL.items()} | {f.__name__: f for f in FUNCTIONS}
-    out |= {"rf_estimator": _trees("rf", 100, 10), "gbt_estimator": _trees("gbt", 20, 5), "fcnn_estimator": _net(()), "mscn_estimator": _net(N.SETS)}
-    return out | {f"stream_{k}": _stream(k) for k in ("tumbling", "sliding", "session")}
+    return out | many.queries() | {f"stream_{k}": _stream(k) for k in ("tumbling", "sliding", "session")}
 
 
 def _independent_sql() -> str:
@@ -542,18 +552,31 @@ def oracle_sql():
     jk = " UNION ALL ".join(f"(SELECT * FROM j{n})" for n in range(2, LEVELS + 1))
     steps = ", ".join(f"j{n} AS (SELECT parent AS subplan, MAX(least(r1, r2) * x.est / r1 * s.actual / r2) AS est FROM links JOIN j{n - 1} x ON x.subplan = links.child JOIN cards s ON s.subplan = links.added JOIN jk ON jk.child = links.child AND jk.added = links.added WHERE links.n_tables = {n} GROUP BY parent)" for n in range(3, LEVELS + 1))
     g = parse(CYCLE)
-    cyc = ", ".join(f"('{P.SEP.join(s)}', {int('n' in s and not g.connected(set(s), {'n'}))})" for s in P._names(g))
-    return SQL | {
+    cyc = ", ".join(f"('{P.SEP.join(s)}')" for s in P._names(g))
+    cyc_edges = ", ".join(f"('{j.left[0]}', '{j.right[0]}'), ('{j.right[0]}', '{j.left[0]}')" for j in g.joins)
+    cyc_sql = f"""WITH RECURSIVE p(subplan) AS (VALUES {cyc}), e(a, b) AS (VALUES {cyc_edges}), m AS (SELECT subplan, unnest(string_split(subplan, ' ')) AS a FROM p), k AS (SELECT * FROM m WHERE a <> 'n'),
+r AS (SELECT subplan, MIN(a) AS a FROM k GROUP BY subplan UNION SELECT r.subplan, k.a FROM r JOIN e ON e.a = r.a JOIN k ON k.subplan = r.subplan AND k.a = e.b)
+SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT COUNT(*) FROM k WHERE k.subplan = p.subplan) > (SELECT COUNT(*) FROM r WHERE r.subplan = p.subplan) AS BIGINT) AS "cross" FROM p"""
+    return SQL | many.oracle_sql() | {
         "spj_count_3way": "SELECT COUNT(*) AS n FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND c_mktsegment = 'BUILDING' AND l_quantity > 30",
         "pred_regex_trycast": "SELECT COUNT(*) AS n FROM (SELECT json_extract_string(props, '$.k') AS v FROM events) WHERE regexp_full_match(v, '(?:[1-9]\\d*|0)?(?:\\.\\d+)?') AND TRY_CAST(v AS DOUBLE) BETWEEN 10 AND 60",
         "col_stats": " UNION ALL ".join(stat(t, c) for t, c in [("lineitem", "l_quantity"), ("lineitem", "l_discount"), ("orders", "o_totalprice"), ("part", "p_size")]),
         "joinkey_stats": " UNION ALL ".join(key(t, c) for t, c in KEYS),
         "mcv_topk": "SELECT l_partkey AS value, COUNT(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, value LIMIT 10",
         "percentile_summary": pct("o_totalprice", "orders"),
+        "constraints": f"WITH {base}, {cards}, {ind}, k(child, added, tc) AS (VALUES {', '.join(f"('{c}', '{a}', '{t}.{x}')" for c, a, t, x in _pk_edges())}), mf AS ({' UNION ALL '.join(f"SELECT '{t}.{x}' AS tc, (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM {t} GROUP BY {x})) AS f" for t, x in sorted({r[2:] for r in _pk_edges()}))}), ed AS (SELECT links.parent, p.est > f * a.est AS fk, c.est < p.est AS id FROM links JOIN k USING (child, added) JOIN mf USING (tc) JOIN ind p ON p.subplan = parent JOIN ind c ON c.subplan = links.child JOIN ind a ON a.subplan = links.added), nd AS (SELECT ind.subplan, COUNT(*) FILTER (WHERE fk) AS fk, COUNT(*) FILTER (WHERE id) AS id FROM ind LEFT JOIN ed ON parent = ind.subplan GROUP BY 1) SELECT CAST(SUM(fk) AS BIGINT) AS fk_errors, CAST(SUM(id) AS BIGINT) AS id_errors, round(AVG(CASE WHEN id > 0 THEN 1.0 ELSE 0.0 END), 6) AS mean_error FROM nd",
+        "table_sample": f"SELECT COUNT(*) AS n FROM orders WHERE {bucket('o_orderkey', 10_000)} < 1000",
+        "est_true_random": f"WITH {base}, {cards} SELECT subplan, round(greatest(1.0, actual * (1 - " + bucket("'7 ' || subplan", 9973) + " / CAST(9973 AS DOUBLE) * 50 / 100)), 4) AS est FROM cards",
+        "est_random": f"WITH {base}, {cards} SELECT subplan, round(" + bucket("'7 ' || subplan", 9973) + " / CAST(9973 AS DOUBLE) * total, 4) AS est FROM cards",
+        "clean_words": "SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^\\p{L} ]', '', 'g'), ' +'), lambda w: length(w) >= 3 AND w NOT IN ('a', 'an', 'and', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'with')), ' ') AS w FROM part",
         "subplans": f"WITH {base} SELECT subplan, CAST(n_tables AS BIGINT) AS n_tables FROM plans",
         "subplan_edges": f"WITH {base} SELECT parent, child, added FROM links",
         "node_degrees": f"WITH {base} SELECT subplan, (SELECT COUNT(*) FROM links WHERE parent = subplan) AS down, (SELECT COUNT(*) FROM links WHERE child = subplan) AS up FROM plans",
-        "cross_join_check": f"SELECT subplan, CAST(x AS BIGINT) AS \"cross\" FROM (VALUES {cyc}) AS t(subplan, x)",
+        "cross_join_check": cyc_sql,
+        "plan_hints": TREE.replace("COUNT(*)", "COUNT(*) AS n", 1), "cached_execute": SQL["having_count"],
+        "source_edges": f"WITH {base} SELECT parent, child FROM links UNION ALL SELECT subplan, '' FROM plans WHERE n_tables = 1",
+        "column_norms": "WITH c AS (" + " UNION ALL ".join(stat(t, c) for t, c in NORM_COLUMNS) + "), u AS (UNPIVOT (SELECT min_value, max_value, CAST(num_values AS DOUBLE) AS num_values, CAST(total_values AS DOUBLE) AS total_values FROM c) ON min_value, max_value, num_values, total_values INTO NAME stat VALUE v) SELECT stat, ROUND(AVG(v), 4) AS mean, ROUND(stddev_pop(v), 4) AS std FROM u GROUP BY stat",
+        "like_features": "SELECT p_partkey, " + ", ".join(f"list_sort(list_distinct([{bucket(f'substr(p_type, i, {k})', 8)} FOR i IN range(1, length(p_type) - {k} + 2)])) AS g{k}" for k in (1, 2, 3)) + ", length(p_type) AS length, CAST(regexp_matches(p_type, '[0-9]') AS BIGINT) AS digit FROM part",
         "subplan_true_counts": P.counts_sql(G), "subplan_totals": P.counts_sql(G, filtered=False), "count_message_passing": P.counts_sql(G),
         "implied_predicates": "SELECT c_nationkey, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE right(n_name, 1) < '5' GROUP BY c_nationkey",
         "sample_bitmap": f"SELECT o_orderkey AS k FROM orders WHERE {bucket('o_orderkey', 1000)} < 20 AND o_totalprice > 100000",
@@ -583,11 +606,10 @@ def oracle_sql():
         "minmax_feature": "SELECT p_partkey, ROUND(CAST(p_size - lo AS DOUBLE) / (hi - lo), 6) AS f FROM part, (SELECT MIN(p_size) AS lo, MAX(p_size) AS hi FROM part)",
         "like_ngrams": "SELECT g, COUNT(*) AS n FROM (SELECT substr(p_type, i, 3) AS g FROM (SELECT p_type, unnest(range(1, length(p_type) - 1)) AS i FROM part)) GROUP BY g",
         "join_onehot": f"WITH {base}, e(edge, a, b) AS (VALUES {', '.join(f'({chr(39)}{x.left[0]}{x.right[0]}{chr(39)}, {chr(39)}{x.left[0]}{chr(39)}, {chr(39)}{x.right[0]}{chr(39)})' for x in G.joins)}) SELECT subplan, edge, CAST(list_contains(string_split(subplan, ' '), a) AND list_contains(string_split(subplan, ' '), b) AS BIGINT) AS held FROM plans, e",
-        "y_log_norm": f"WITH {base}, {cards} SELECT subplan, ROUND((ln(actual) - ln(lo)) / (ln(hi) - ln(lo)), 6) AS y FROM cards, (SELECT MIN(actual) AS lo, MAX(actual) AS hi FROM cards)",
+        "y_transforms": f"WITH {base}, {cards}, s AS (SELECT MIN(actual) AS lo, MAX(actual) AS hi, AVG(actual) AS m, stddev_pop(actual) AS sd, AVG(ln(actual)) AS lm, stddev_pop(ln(actual)) AS lsd, MIN(actual / total) AS slo, MAX(actual / total) AS shi FROM cards) SELECT subplan, t.mode AS mode, round(t.y, 6) AS y, round(CAST(actual AS DOUBLE), 3) AS back FROM (SELECT subplan, actual, unnest([" + ", ".join(f"{{'mode': '{m}', 'y': {x}}}" for m, x in {"log": "(ln(actual) - ln(lo)) / (ln(hi) - ln(lo))", "minmax": "(actual - lo) / CAST(hi - lo AS DOUBLE)", "whitening": "(actual - m) / sd", "logwhitening": "(ln(actual) - lm) / lsd", "selectivity": "(actual / total - slo) / (shi - slo)", "selectivity-log": "ln(actual / total)", "log-selectivity": "ln(actual) / ln(total)"}.items()) + "]) AS t FROM cards, s)",
         "log_bucket": f"WITH {base}, {cards} SELECT subplan, CAST(CASE " + " ".join(f"WHEN actual > {10**i} AND actual < {10 ** (i + 1)} THEN {i}" for i in range(8)) + " ELSE 8 END AS BIGINT) AS b FROM cards",
         "quantile_chunk": "WITH p AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS i, COUNT(*) OVER () AS m FROM p) SELECT CAST(least(i // (m // 7), 6) AS BIGINT) AS chunk, COUNT(*) AS rows, CAST(SUM(n) AS BIGINT) AS n FROM r GROUP BY 1",
         "ilike_prefix_counts": "WITH w AS (SELECT unnest(string_split_regex(lower(p_name), '\\W+')) AS w FROM part), p AS (SELECT substr(w, 1, k) AS prefix FROM w, range(1, 5) t(k) WHERE k <= length(w)) SELECT prefix, COUNT(*) AS n FROM p GROUP BY prefix HAVING COUNT(*) BETWEEN 5 AND 500",
-        "workload_mix": "SELECT * FROM (VALUES ('customer', 'eq', CAST(1 AS BIGINT)), ('lineitem', 'lt', 1), ('part', 'lt', 1), ('orders', 'lt', 1)) AS t(t, kind, n)",
         "energy_rank": "WITH v AS (SELECT o_custkey AS id, CAST(COUNT(*) AS DOUBLE) AS v FROM orders GROUP BY o_custkey), c AS (SELECT row_number() OVER (ORDER BY v DESC, id) AS rank, SUM(v) OVER (ORDER BY v DESC, id ROWS UNBOUNDED PRECEDING) / SUM(v) OVER () AS cum FROM v) SELECT MIN(rank) AS rank FROM c WHERE cum > 0.9",
         "asof": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events",
         "stream_tumbling": f"{win('1 hour')}, w_start + INTERVAL '1 hour' AS w_end, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS v FROM events GROUP BY ALL",
