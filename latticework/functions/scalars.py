@@ -17,6 +17,14 @@ def sha1_bucket(value: Column, buckets: int) -> Column:
     return out
 
 
+def sha1_bucket_sql(col: str, buckets: int) -> str:
+    """sha1_bucket as SQL of engines whose hexadecimal texts cast to integers."""
+    out = "CAST(0 AS BIGINT)"
+    for i in range(5):
+        out = f"((({out}) * {2**32 % buckets} + CAST('0x' || substr(sha1(CAST({col} AS VARCHAR)), {8 * i + 1}, 8) AS BIGINT)) % {buckets})"
+    return out
+
+
 def strip_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[0-9]", "")
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .operators import estimate as E
 from .operators import learn as L
-from .operators import nets as N
 from .plans import lattice as P
 from .plans.sqlfront import Graph, parse, predicate_op
 from .plans.templates import generate
@@ -110,21 +109,11 @@ def plan_cost_by_template(spark, d):
 
 
 def _rows(spark, d):
-    """One row for each subplan with features for every learned estimator; aliases and predicates of all templates have a place."""
+    """One row for each subplan: aliases held, number of tables, and the log of what independence expects, as flat; actual."""
     aliases = sorted({a for g in graphs().values() for a in g.tables})
-    sel = _cards(spark, d).where("n_tables = 1").select("query_id", F.col("subplan").alias("a"), F.log1p("actual").alias("rows"), (F.col("actual") / F.greatest("total", F.lit(1))).alias("share"))
-    one = _plans(spark).withColumn("a", F.explode("nodes")).join(sel, ["query_id", "a"])
-    tables = F.array(*[(F.col("a") == a).cast("double") for a in aliases], F.col("rows"))
-    preds = F.array(*[(F.col("a") == a).cast("double") for a in aliases], F.col("share"))
-    sets = one.groupBy("query_id", "subplan").agg(F.sort_array(F.collect_list(tables)).alias("tables"), F.sort_array(F.collect_list(F.when(F.col("share") < 1, preds))).alias("predicates"))
-    joins = sorted({j.sql() for g in graphs().values() for j in g.joins})
-    e = spark.createDataFrame([(q, j.left[0], j.right[0], [float(j.sql() == x) for x in joins]) for q, g in graphs().items() for j in g.joins], "query_id string, l string, r string, v array<double>")
-    held = _plans(spark).join(F.broadcast(e), "query_id").where(F.array_contains("nodes", F.col("l")) & F.array_contains("nodes", F.col("r")))
-    edges = held.groupBy("query_id", "subplan").agg(F.sort_array(F.collect_list("v")).alias("joins"))
     flat = F.array(*[F.array_contains("nodes", a).cast("double") for a in aliases], F.col("n_tables") / len(aliases), F.log1p("est") / 20)
-    rows = _plans(spark).join(sets, ["query_id", "subplan"]).join(edges, ["query_id", "subplan"], "left").join(_est(spark, d), ["query_id", "subplan"])
-    rows = rows.withColumn("joins", F.coalesce("joins", F.array().cast("array<array<double>>"))).withColumn("flat", flat)
-    return rows.join(_cards(spark, d).select("query_id", "subplan", "actual", "total"), ["query_id", "subplan"]).withColumn("key", F.concat_ws(" ", "query_id", "subplan"))
+    rows = _plans(spark).join(_est(spark, d), ["query_id", "subplan"]).withColumn("flat", flat)
+    return rows.join(_cards(spark, d).select("query_id", "subplan", "actual", "total"), ["query_id", "subplan"])
 
 
 def _data(spark, d):
@@ -144,28 +133,20 @@ def _trees(kind):
     return run
 
 
-def _net(sets):
-    """Estimates of held-out queries by a network fitted on the others."""
-
-    def run(spark, d):
-        train, test = L.split(_data(spark, d), "query_id", 1, 25)
-        net, widths, flat = N.fit_net(train, "actual", "key", sets)
-        out = N.net_estimates(test.select(F.col("key").alias("subplan"), "tables", "joins", "predicates", "flat"), net, widths, flat)
-        return out.join(test.select("query_id", F.col("subplan").alias("s"), F.col("key").alias("k")), F.col("subplan") == F.col("k")).select("query_id", F.col("s").alias("subplan"), "est")
-
-    return run
-
-
 FUNCTIONS = [many_subplans, many_edges, many_true_counts, many_totals, workload_mix, qerr_by_template, metric_registry, many_plans, plan_cost_by_template]
 
 
 def queries():
-    return {f.__name__: f for f in FUNCTIONS} | {"rf_estimator": _trees("rf"), "gbt_estimator": _trees("gbt"), "fcnn_estimator": _net(()), "mscn_estimator": _net(N.SETS)}
+    return {f.__name__: f for f in FUNCTIONS} | {"rf_estimator": _trees("rf"), "gbt_estimator": _trees("gbt")}
 
 
-def oracle_sql():
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def ctes() -> dict[str, str]:
+    """Common table expressions of the workload by name: lattice, counts, estimates, costs and chosen plans."""
     names = {q: P._names(g) for q, g in graphs().items()}
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
     plans = ", ".join(f"('{q}', '{P.SEP.join(s)}', {len(s)})" for q, ss in names.items() for s in ss)
     links = ", ".join(f"('{q}', '{P.SEP.join(p)}', '{P.SEP.join(c)}', '{(set(p) - set(c)).pop()}', {len(p)})" for q, ss in names.items() for p in ss for c in ss if len(c) == len(p) - 1 and set(c) < set(p))
     base = f"plans(query_id, subplan, n_tables) AS (VALUES {plans}), links(query_id, parent, child, added, n_tables) AS (VALUES {links})"
@@ -193,6 +174,13 @@ def oracle_sql():
         "best AS (SELECT query_id, MIN(tc) AS opt FROM whole GROUP BY query_id), "
         "chosen AS (SELECT query_id, path, round(tc, 3) AS cost, round(opt, 3) AS opt FROM pick JOIN best USING (query_id))"
     )
+    texted = f"t(q, text) AS (VALUES {', '.join(f'({quoted(i)}, {quoted(x)})' for i, x in texts().items())})"
+    return {"base": base, "act": act, "totals": count(False), "ndv": ndv, "ind": ind, "costs": costs, "texts": texted}
+
+
+def oracle_sql():
+    of = ctes()
+    base, act, ndv, ind, costs = (of[c] for c in ("base", "act", "ndv", "ind", "costs"))
     full = f"WITH RECURSIVE {base}, {act}, {ndv}, {ind}, {costs}"
     kinds = {"in": " IN \\(", "ilike": " ILIKE ", "like": " LIKE ", "eq": "[a-z]+\\.[a-z_]+ = ''", "lt": " BETWEEN | [<>]=? "}
     mix = " UNION ALL ".join(f"SELECT split_part(q, '-', 1) AS template, '{k}' AS kind, len(regexp_extract_all(text, '{p}')) AS n FROM t" for k, p in kinds.items())
@@ -203,8 +191,8 @@ def oracle_sql():
         "many_subplans": f"WITH {base} SELECT query_id, subplan, CAST(n_tables AS BIGINT) AS n_tables FROM plans",
         "many_edges": f"WITH {base} SELECT query_id, parent, child, added FROM links",
         "many_true_counts": f"WITH {act} SELECT * FROM act",
-        "many_totals": count(False),
-        "workload_mix": f"WITH t(q, text) AS (VALUES {', '.join(f'({quoted(i)}, {quoted(x)})' for i, x in texts().items())}) SELECT template, kind, CAST(SUM(n) AS BIGINT) AS n FROM ({mix}) GROUP BY ALL HAVING SUM(n) > 0",
+        "many_totals": of["totals"],
+        "workload_mix": f"WITH {of['texts']} SELECT template, kind, CAST(SUM(n) AS BIGINT) AS n FROM ({mix}) GROUP BY ALL HAVING SUM(n) > 0",
         "qerr_by_template": f"WITH {base}, {act}, {ndv}, {ind} SELECT template, COUNT(*) AS n, round(AVG({q}), 3) AS mean, {pct(0.5)} AS p50, {pct(0.9)} AS p90 FROM err GROUP BY template",
         "metric_registry": f"WITH {base}, {act}, {ndv}, {ind} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, printf('%.5e', AVG({x})) AS mean FROM err" for m, x in metric.items()),
         "many_plans": f"{full} SELECT query_id, path, cost, opt FROM chosen",

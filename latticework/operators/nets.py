@@ -9,16 +9,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sqlfront import Graph
-
 #: Labelled rows a fit takes at most: those of the smallest hashes, so a refit takes the same ones.
 MAX_TRAIN_ROWS = 50_000
 SETS = ("tables", "joins", "predicates")
 
 
+def _mse(p: np.ndarray, y: np.ndarray, span: float) -> tuple[float, np.ndarray]:
+    return ((p - y) ** 2).mean(), 2 * (p - y) / len(y)
+
+
+def _mse_pos(p: np.ndarray, y: np.ndarray, span: float) -> tuple[float, np.ndarray]:
+    w = np.where(p < y, 10.0, 1.0)
+    return (w * (p - y) ** 2).mean(), 2 * w * (p - y) / len(y)
+
+
+def _q(p: np.ndarray, y: np.ndarray, span: float) -> tuple[float, np.ndarray]:
+    q = np.exp(np.abs(p - y) * span)
+    return q.mean(), np.sign(p - y) * span * q / len(y)
+
+
+def _ranked(p: np.ndarray, y: np.ndarray, span: float) -> tuple[float, np.ndarray]:
+    """mse, and a tenth of the mean cross-entropy of each pair's order against half of one more than the labels' difference."""
+    value, slope = _mse(p, y, span)
+    i, j = np.triu_indices(len(p), 1)
+    if not len(i):
+        return value, slope
+    s = 1 / (1 + np.exp(p[j] - p[i]))
+    t = (1 + np.clip(y[i] - y[j], -1, 1)) / 2
+    g = 0.1 * (s - t) / len(i)
+    return value - 0.1 * (t * np.log(s) + (1 - t) * np.log(1 - s)).mean(), slope + np.bincount(i, g, len(p)) - np.bincount(j, g, len(p))
+
+
+#: Losses of scaled logs and their slopes: mse; mse with underestimates ten times; mean q-error; mse and order of pairs in a batch.
+LOSSES = {"mse": _mse, "mse_pos": _mse_pos, "q": _q, "mse+ranknet": _ranked}
+
+
 class Layers:
     """Dense layers, each but an open last one followed by a rectifier."""
 
@@ -72,14 +100,9 @@ class SetNet:
         return 1 / (1 + np.exp(-self.top.forward(np.concatenate([*means, flat], axis=1))[:, 0]))
 
     def gradients(self, x: dict, flat: np.ndarray, y: np.ndarray, loss: str = "mse") -> tuple[float, list[np.ndarray]]:
-        """Mean loss over rows (mse of scaled logs, or the q-error) and its gradients, in the order of params()."""
+        """Mean loss over rows (see LOSSES) and its gradients, in the order of params()."""
         p = self.forward(x, flat)
-        d = p - y
-        if loss == "mse":
-            value, slope = (d**2).mean(), 2 * d / len(y)
-        else:
-            q = np.exp(np.abs(d) * self.span)
-            value, slope = q.mean(), np.sign(d) * self.span * q / len(y)
+        value, slope = LOSSES[loss](p, y, self.span)
         g, grads = self.top.backward((slope * p * (1 - p))[:, None])
         out, at = [], 0
         for s, layers in self.sets.items():
@@ -89,23 +112,48 @@ class SetNet:
             at += width
         return float(value), out + grads
 
-    def fit(self, x: dict, flat: np.ndarray, labels: np.ndarray, epochs: int = 300, batch: int = 256, rate: float = 3e-3, loss: str = "mse", seed: int = 1) -> SetNet:
-        """Adam over shuffled batches, gradients clipped to norm 10; labels below 1 count as 1."""
+    def fit(self, x: dict, flat: np.ndarray, labels: np.ndarray, epochs: int = 300, batch: int = 256, rate: float = 3e-3, loss: str = "mse", seed: int = 1,
+            keep: float = 1.0, average: float = 0.0, val: tuple[dict, np.ndarray, np.ndarray] | None = None, patience: int = 20) -> SetNet:
+        """Adam over shuffled batches, gradients clipped to norm 10; labels below 1 count as 1.
+
+        keep: each batch sees an element of a set, and a flat feature, with this probability (query masking). average: the weights are the mean
+        over this last share of epochs. val: with rows (x, flat, labels) held out, training stops after `patience` epochs
+        without a lower loss on them, and the best epoch's weights stay.
+        """
         y = np.log(np.maximum(labels, 1))
         self.low, self.span = float(y.min()), float(y.max() - y.min()) or 1.0
+        scaled = lambda v: (np.log(np.maximum(v, 1)) - self.low) / self.span
         y, rng, t = (y - self.low) / self.span, np.random.default_rng(seed), 0
         params = self.params()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for _ in range(epochs):
+        total, summed, best, best_at, kept = [np.zeros_like(p) for p in params], 0, np.inf, 0, None
+        for epoch in range(epochs):
             order = rng.permutation(len(y))
             for rows in np.array_split(order, -(-len(y) // batch)):
                 t += 1
-                _, grads = self.gradients({s: (e[rows], k[rows]) for s, (e, k) in x.items()}, flat[rows], y[rows], loss)
+                some, f = {s: (e[rows], k[rows]) for s, (e, k) in x.items()}, flat[rows]
+                if keep < 1:
+                    some = {s: (e, k * (rng.uniform(size=k.shape) < keep)) for s, (e, k) in some.items()}
+                    f = f * (rng.uniform(size=f.shape) < keep)
+                _, grads = self.gradients(some, f, y[rows], loss)
                 scale = min(1.0, 10 / (sum(float((g**2).sum()) for g in grads) ** 0.5 + 1e-12))
                 for i, (p, g) in enumerate(zip(params, grads, strict=True)):
                     m[i] = 0.9 * m[i] + 0.1 * g * scale
                     v[i] = 0.999 * v[i] + 0.001 * (g * scale) ** 2
                     p -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            if epoch >= epochs * (1 - average):
+                summed += 1
+                total = [a + p for a, p in zip(total, params, strict=True)]
+            if val is not None:
+                now = float(LOSSES[loss](self.forward(val[0], val[1]), scaled(val[2]), self.span)[0])
+                if now < best:
+                    best, best_at, kept = now, epoch, [p.copy() for p in params]
+                elif epoch - best_at >= patience:
+                    break
+        final = kept if kept is not None else [a / summed for a in total] if summed else params
+        for p, new in zip(params, final, strict=True):
+            p[...] = new
+        self.epochs = epoch + 1
         return self
 
     def predict(self, x: dict, flat: np.ndarray) -> np.ndarray:
@@ -125,39 +173,20 @@ def arrays(pdf: pd.DataFrame, sets: dict[str, int], flat: int) -> tuple[dict, np
     return x, np.array([list(f) for f in pdf["flat"]], float).reshape(len(pdf), flat)
 
 
-def set_features(g: Graph, plans: DataFrame, single: DataFrame) -> DataFrame:
-    """(subplan, tables, joins, predicates, flat) of plans (subplan, nodes, n_tables).
+def fit_net(train: DataFrame, label: str, key: str, sets: tuple[str, ...] = SETS, val: DataFrame | None = None, **how) -> tuple[SetNet, dict[str, int], int]:
+    """The network fitted on train's rows of smallest hashes of `key`, MAX_TRAIN_ROWS at most; sets=() makes the plain network.
 
-    tables: one-hot table and log rows; joins: one-hot edge; predicates: one-hot alias and selectivity; flat: aliases held, number of tables.
-    single: (subplan, actual, total) of the single tables, a few rows.
+    val: rows to stop early by, as many at most; how: see SetNet.fit.
     """
-    rows = {r["subplan"]: (r["actual"], r["total"]) for r in single.collect()}
-    names, aliases = sorted(set(g.tables.values())), sorted(g.tables)
-    hot = lambda i, n: [float(i == j) for j in range(n)]
-
-    def pick(items: list[tuple[list[str], list[float]]]) -> Column:
-        """The feature vectors whose aliases the subplan holds."""
-        if not items:
-            return F.array().cast("array<array<double>>")
-        held = F.array(*[F.when(F.size(F.array_except(F.array(*map(F.lit, a)), F.col("nodes"))) == 0, F.array(*map(F.lit, v))) for a, v in items])
-        return F.filter(held, lambda v: v.isNotNull())
-
-    tables = pick([([a], hot(names.index(g.tables[a]), len(names)) + [float(np.log1p(rows[a][1]))]) for a in aliases])
-    joins = pick([(sorted({j.left[0], j.right[0]}), hot(i, len(g.joins))) for i, j in enumerate(g.joins)])
-    with_preds = [a for a in aliases if g.preds.get(a)]
-    preds = pick([([a], hot(with_preds.index(a), len(with_preds)) + [rows[a][0] / max(rows[a][1], 1)]) for a in with_preds])
-    flat = F.array(*[F.array_contains("nodes", a).cast("double") for a in aliases], F.col("n_tables") / len(aliases))
-    return plans.select("subplan", tables.alias("tables"), joins.alias("joins"), preds.alias("predicates"), flat.alias("flat"))
-
-
-def fit_net(train: DataFrame, label: str, key: str, sets: tuple[str, ...] = SETS, **how) -> tuple[SetNet, dict[str, int], int]:
-    """The network fitted on train's rows of smallest hashes of `key`, MAX_TRAIN_ROWS at most; sets=() makes the plain network."""
-    pdf = train.orderBy(F.xxhash64(key), key).limit(MAX_TRAIN_ROWS).toPandas()
+    taken = lambda d: d.select(label, key, *sets, "flat").orderBy(F.xxhash64(key), key).limit(MAX_TRAIN_ROWS).toPandas()
+    pdf = taken(train)
     if not len(pdf):
         raise ValueError("no labelled rows")
     widths = {s: max((len(v) for elements in pdf[s] for v in elements), default=1) for s in sets}
     flat = len(pdf["flat"].iloc[0])
     x, f = arrays(pdf, widths, flat)
+    if val is not None and len(held := taken(val)):
+        how["val"] = (*arrays(held, widths, flat), held[label].to_numpy(float))
     return SetNet(widths, flat).fit(x, f, pdf[label].to_numpy(float), **how), widths, flat
 
 

@@ -14,12 +14,16 @@ from ..sources.tables import stored, table
 
 
 def column_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
-    """(col, min_value, max_value, num_values, total_values): extremes of non-null values, distinct values with null as one, rows."""
-    one = lambda t, c: table(spark, sf_dir, t).agg(
-        F.lit(f"{t}.{c}").alias("col"), (F.min(c).cast("double") + 0.0).alias("min_value"), F.max(c).cast("double").alias("max_value"),
-        (F.countDistinct(c) + F.max(F.col(c).isNull().cast("long"))).alias("num_values"), F.count("*").alias("total_values"),
-    )
-    return reduce(DataFrame.unionByName, [one(t, c) for t, c in columns])
+    """(col, min_value, max_value, num_values, total_values): extremes of non-null numbers, distinct values with null as one, rows; one pass over each table."""
+    out = []
+    for t in sorted({t for t, _ in columns}):
+        some = sorted({c for x, c in columns if x == t})
+        one = lambda c: F.struct(
+            F.lit(f"{t}.{c}").alias("col"), (F.min(c).try_cast("double") + 0.0).alias("min_value"), F.max(c).try_cast("double").alias("max_value"),
+            (F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))).alias("num_values"), F.count("*").alias("total_values"),
+        )
+        out.append(table(spark, sf_dir, t).agg(F.array(*map(one, some)).alias("all")).select(F.explode("all").alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def join_key_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import many
+from . import featured, many
 from .functions import scalars as S
 from .operators import estimate as E
 from .operators import learn as L
@@ -514,7 +514,7 @@ FUNCTIONS = [
 
 def queries():
     out = {k: _sql(v) for k, v in SQL.items()} | {f.__name__: f for f in FUNCTIONS}
-    return out | many.queries() | {f"stream_{k}": _stream(k) for k in ("tumbling", "sliding", "session")}
+    return out | many.queries() | featured.queries() | {f"stream_{k}": _stream(k) for k in ("tumbling", "sliding", "session")}
 
 
 def _independent_sql() -> str:
@@ -547,7 +547,7 @@ def oracle_sql():
     key = lambda t, c: f"SELECT '{t}.{c}' AS col, MAX(n) AS max_key, MIN(n) AS min_key, ROUND(AVG(n), 6) AS avg_key, ROUND(var_samp(n), 6) AS var_key, CAST(SUM(CASE WHEN k IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS \"count\", COUNT(k) AS \"distinct\", ROUND(SUM(CASE WHEN k IS NULL THEN n ELSE 0 END) / SUM(n), 6) AS null_frac FROM (SELECT {c} AS k, COUNT(*) AS n FROM {t} GROUP BY {c})"
     stat = lambda t, c: f"SELECT '{t}.{c}' AS col, CAST(MIN({c}) AS DOUBLE) + CAST(0 AS DOUBLE) AS min_value, CAST(MAX({c}) AS DOUBLE) AS max_value, (SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM {t})) AS num_values, COUNT(*) AS total_values FROM {t}"
     pct = lambda c, src, r=6: f"SELECT ROUND(AVG({c}), {r}) AS mean, ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), {r}) AS p50, ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.9), {r}) AS p90, ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.99), {r}) AS p99 FROM {src}"
-    bucket = lambda c, b: "(" + _fold(c, b) + ")"
+    bucket = lambda c, b: "(" + S.sha1_bucket_sql(c, b) + ")"
     keyed = f"jk AS ({_key_counts(None, None)})"
     jk = " UNION ALL ".join(f"(SELECT * FROM j{n})" for n in range(2, LEVELS + 1))
     steps = ", ".join(f"j{n} AS (SELECT parent AS subplan, MAX(least(r1, r2) * x.est / r1 * s.actual / r2) AS est FROM links JOIN j{n - 1} x ON x.subplan = links.child JOIN cards s ON s.subplan = links.added JOIN jk ON jk.child = links.child AND jk.added = links.added WHERE links.n_tables = {n} GROUP BY parent)" for n in range(3, LEVELS + 1))
@@ -557,7 +557,7 @@ def oracle_sql():
     cyc_sql = f"""WITH RECURSIVE p(subplan) AS (VALUES {cyc}), e(a, b) AS (VALUES {cyc_edges}), m AS (SELECT subplan, unnest(string_split(subplan, ' ')) AS a FROM p), k AS (SELECT * FROM m WHERE a <> 'n'),
 r AS (SELECT subplan, MIN(a) AS a FROM k GROUP BY subplan UNION SELECT r.subplan, k.a FROM r JOIN e ON e.a = r.a JOIN k ON k.subplan = r.subplan AND k.a = e.b)
 SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT COUNT(*) FROM k WHERE k.subplan = p.subplan) > (SELECT COUNT(*) FROM r WHERE r.subplan = p.subplan) AS BIGINT) AS "cross" FROM p"""
-    return SQL | many.oracle_sql() | {
+    return SQL | many.oracle_sql() | featured.oracle_sql() | {
         "spj_count_3way": "SELECT COUNT(*) AS n FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND c_mktsegment = 'BUILDING' AND l_quantity > 30",
         "pred_regex_trycast": "SELECT COUNT(*) AS n FROM (SELECT json_extract_string(props, '$.k') AS v FROM events) WHERE regexp_full_match(v, '(?:[1-9]\\d*|0)?(?:\\.\\d+)?') AND TRY_CAST(v AS DOUBLE) BETWEEN 10 AND 60",
         "col_stats": " UNION ALL ".join(stat(t, c) for t, c in [("lineitem", "l_quantity"), ("lineitem", "l_discount"), ("orders", "o_totalprice"), ("part", "p_size")]),
@@ -616,11 +616,3 @@ SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT
         "stream_sliding": "WITH e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS w_start, event_type, value FROM events, range(0, 2) t(k)) SELECT w_start, w_start + INTERVAL '1 hour' AS w_end, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS v FROM e GROUP BY ALL",
         "stream_session": "WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT MIN(ts) AS w_start, MAX(ts) + INTERVAL '2 hours' AS w_end, user_id, COUNT(*) AS n, ROUND(SUM(value), 4) AS v FROM b GROUP BY user_id, s",
     }
-
-
-def _fold(col: str, buckets: int) -> str:
-    """int(sha1(col)) mod buckets in SQL."""
-    out = "CAST(0 AS BIGINT)"
-    for i in range(5):
-        out = f"((({out}) * {2**32 % buckets} + CAST('0x' || substr(sha1(CAST({col} AS VARCHAR)), {8 * i + 1}, 8) AS BIGINT)) % {buckets})"
-    return out

@@ -125,7 +125,7 @@ def test_net_gradients():
         layers.b = [r.normal(size=b.shape) for b in layers.b]
     x = {"tables": (r.normal(size=(6, 4, 3)), (r.uniform(size=(6, 4)) < 0.7).astype(float)), "joins": (r.normal(size=(6, 2, 2)), np.zeros((6, 2)))}
     flat, y = r.normal(size=(6, 2)), r.uniform(size=6)
-    for loss in ("mse", "q"):
+    for loss in ("mse", "mse_pos", "q", "mse+ranknet"):
         _, grads = net.gradients(x, flat, y, loss)
         for p, g in zip(net.params(), grads, strict=True):
             assert p.shape == g.shape
@@ -161,6 +161,61 @@ def test_net_without_rows(spark):
         fit_net(empty, "actual", "subplan")
 
 
+def test_predicates():
+    from latticework.plans.sqlfront import Predicate, predicates
+
+    g = graph(
+        "SELECT COUNT(*) FROM a AS x, b AS y WHERE x.id = y.id AND (x.s IN ('p, q', 'it''s') OR x.s IS NULL) AND x.v >= '3' AND x.v <= 10 AND x.v < 7.5 "
+        "AND y.t NOT LIKE '%a%' AND y.d BETWEEN '1' AND '5' AND y.z IS NULL AND (y.z = 1 OR y.k = 2) AND y.q = 'w'"
+    )
+    assert set(predicates(g)) == {
+        Predicate("x", "s", "in", ("p, q", "it's", "NULL")), Predicate("x", "v", "lt", ("3", "7.5")), Predicate("y", "t", "nlike", ("%a%",)), Predicate("y", "d", "lt", ("1", "5")),
+        Predicate("y", "z", "null", ()), Predicate("y", "", "other", ("(y.z = 1 OR y.k = 2)",)), Predicate("y", "q", "eq", ("w",)),
+    }
+
+
+def test_features_of_predicates(spark):
+    """Open and wide ranges, unseen constants and columns, and columns without a range."""
+    from latticework.operators import features as X
+
+    g = {
+        "a-0": graph("SELECT 1 FROM t AS x, u AS y WHERE x.id = y.id AND x.v > 15 AND y.s IN ('p', 'q') AND y.w LIKE '%ab1%'"),
+        "a-1": graph("SELECT 1 FROM t AS x, u AS y WHERE x.id = y.id AND x.v BETWEEN -5 AND 500 AND y.s = 'r' AND y.z < 3"),
+    }
+    lay, preds = X.layout(g, 4, 5), X.predicate_rows(spark, g)
+    assert lay.columns == ("t.v", "u.s", "u.w", "u.z") and lay.kinds == ("eq", "in", "like", "lt") and lay.edges == ("t.id=u.id",)
+    ranges = spark.createDataFrame([("t.v", 10.0, 20.0), ("u.s", None, None)], "col string, min_value double, max_value double")
+    known = X.seen(preds.where("query_id = 'a-1'")).unionByName(spark.createDataFrame([("u.s", "q")], "c string, value string"))
+    for seen, like, n_in in ((known, 0, 1), (None, 1, 2)):
+        out = X.named(X.predicate_vectors(preds, lay, ranges, seen), "vec", lay.predicate_names(), "query_id", "c")
+        got = {}
+        for r in out.collect():
+            got.setdefault((r["query_id"], r["c"]), {})[r["cell"]] = r["v"]
+        assert got["a-0", "t.v"] == {"column t.v": 1, "kind lt": 1, "low": 0.5, "high": 1}
+        assert got["a-1", "t.v"] == {"column t.v": 1, "kind lt": 1, "high": 1}
+        assert got["a-1", "u.z"] == {"column u.z": 1, "kind lt": 1}  # no range known
+        assert 0 < sum(k.startswith("bucket") for k in got["a-0", "u.s"]) <= n_in
+        assert ("length" in got["a-0", "u.w"]) == bool(like) and got["a-0", "u.w"].get("digit", 0) == like
+    m = X.maxima(X.table_rows(spark, g), X.join_rows(spark, g), preds).first()
+    assert tuple(m) == (2, 2, 3, 5)
+    c = spark.createDataFrame([(0,), (7,), (900,)], "actual long")
+    assert [round(math.exp(v)) for v in X.label_range(c).first()] == [1, 901] and [round(math.exp(v)) for v in X.label_range(c, 500).first()] == [1, 8]
+
+
+def test_training_stops_early_and_averages():
+    from latticework.operators.nets import SetNet
+
+    r = np.random.default_rng(1)
+    flat = r.normal(size=(200, 3))
+    y = np.exp(3 + flat[:, 0] - flat[:, 1])
+    held = ({}, r.normal(size=(60, 3)), np.exp(r.normal(size=60)))  # labels that nothing explains
+    early = SetNet({}, 3).fit({}, flat, y, epochs=300, val=held, patience=5)
+    assert early.epochs < 300
+    for how in ({"loss": "mse+ranknet"}, {"loss": "mse_pos"}, {"average": 0.3}, {"keep": 0.9, "average": 0.2}):
+        got = SetNet({}, 3).fit({}, flat, y, **how).predict({}, flat)
+        assert np.median(np.maximum(got / y, y / got)) < 1.5, how
+
+
 def test_path_covers():
     from itertools import product
 
