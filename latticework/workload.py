@@ -474,7 +474,7 @@ def _cells(spark, d):
 
 
 def svd_reconstruct(spark, d):
-    return L.svd(spark, _cells(spark, d), 2)
+    return L.svd(spark, _cells(spark, d), 2).select("i", "j", F.round("value", 6).alias("value"))
 
 
 def matrix_completion(spark, d):
@@ -484,7 +484,7 @@ def matrix_completion(spark, d):
 def flow_loss(spark, d):
     e = _costed(spark, d).select(F.lit("tree").alias("query_id"), "parent", "child", "est_cost", "true_cost")
     one = _plans(spark).where("n_tables = 1").select(F.lit("tree").alias("query_id"), F.col("subplan").alias("parent"), F.lit("").alias("child"), F.lit(1.0).alias("est_cost"), F.lit(1.0).alias("true_cost"))
-    return L.flow_loss(e.unionByName(one))
+    return L.flow_loss(e.unionByName(one)).select("query_id", F.format_string("%.5e", "loss").alias("loss"))
 
 
 def table_sample(spark, d):
@@ -602,6 +602,7 @@ SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT
         "plan_cost_est": f"{full}, {chosen} SELECT subplan, ROUND(ec, 3) AS est_cost, ROUND(tc, 3) AS true_cost FROM pick",
         "plan_path": f"{full}, {chosen} SELECT subplan, path FROM pick",
         "relative_cost": f"{full}, {chosen} SELECT ROUND(tc / m, 4) AS relative, ROUND(tc - m, 2) AS excess FROM pick, (SELECT MIN(tc) AS m FROM ways WHERE subplan = '{top}')",
+        "svd_reconstruct": _svd_sql(), "flow_loss": f"{full}, {_flow_sql()}",
         "hash_bucket": f"SELECT p_partkey, {bucket('p_name', 10)} AS b FROM part",
         "minmax_feature": "SELECT p_partkey, ROUND(CAST(p_size - lo AS DOUBLE) / (hi - lo), 6) AS f FROM part, (SELECT MIN(p_size) AS lo, MAX(p_size) AS hi FROM part)",
         "like_ngrams": "SELECT g, COUNT(*) AS n FROM (SELECT substr(p_type, i, 3) AS g FROM (SELECT p_type, unnest(range(1, length(p_type) - 1)) AS i FROM part)) GROUP BY g",
@@ -616,3 +617,32 @@ SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT
         "stream_sliding": "WITH e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS w_start, event_type, value FROM events, range(0, 2) t(k)) SELECT w_start, w_start + INTERVAL '1 hour' AS w_end, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS v FROM e GROUP BY ALL",
         "stream_session": "WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT MIN(ts) AS w_start, MAX(ts) + INTERVAL '2 hours' AS w_end, user_id, COUNT(*) AS n, ROUND(SUM(value), 4) AS v FROM b GROUP BY user_id, s",
     }
+
+
+def _svd_sql() -> str:
+    """The approximation of rank 2 by projections on the two strongest directions, each from 40 squarings of the columns' products."""
+    square = "[list_sum([m[n * (ab // n) + k + 1] * m[n * k + ab % n + 1] FOR k IN range(n)]) FOR ab IN range(n * n)]"
+    scaled = lambda m: f"list_transform({m}, lambda x: x / list_sum([({m})[(n + 1) * d + 1] FOR d IN range(n)]))"
+    power = lambda name, start: f"{name}(step, n, m) AS (SELECT 0, n, {scaled('g')} FROM {start} UNION ALL SELECT step + 1, n, {scaled('s')} FROM (SELECT step, n, {square} AS s FROM {name} WHERE step < 40))"
+    return (
+        "WITH RECURSIVE names AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_mktsegment FROM customer)), size AS (SELECT COUNT(*) AS n FROM names), "
+        "a AS (SELECT c_nationkey AS i, j, ln(COUNT(*)) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN names USING (c_mktsegment) GROUP BY c_nationkey, j), "
+        "gr AS (SELECT n, list(coalesce(v, 0) ORDER BY p, q) AS g FROM size, (SELECT x.j AS p, y.j AS q, (SELECT SUM(u.v * w.v) FROM a u JOIN a w USING (i) WHERE u.j = x.j AND w.j = y.j) AS v FROM names x, names y) GROUP BY n), "
+        f"{power('p1', 'gr')}, strongest AS (SELECT m FROM p1 WHERE step = 40), "
+        "rest AS (SELECT n, [g[i + 1] - list_dot_product(g, m) * m[i + 1] FOR i IN range(n * n)] AS g FROM gr, strongest), "
+        f"{power('p2', 'rest')}, two AS (SELECT n, [strongest.m[i + 1] + p2.m[i + 1] FOR i IN range(n * n)] AS m FROM p2, strongest WHERE step = 40) "
+        "SELECT CAST(i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(SUM(v * m[n * a.j + b.j + 1]), 6) AS value FROM a, names b, two GROUP BY i, b.j"
+    )
+
+
+def _flow_sql() -> str:
+    """After the expressions of costs and plans: potentials by elimination, then the true costs of the currents."""
+    return (
+        "ed AS (SELECT parent, child, ec, tc FROM costs UNION ALL SELECT subplan, '', 1, 1 FROM plans WHERE n_tables = 1), nd AS (SELECT subplan, row_number() OVER (ORDER BY subplan) AS k, COUNT(*) OVER () AS n FROM plans), "
+        "en AS (SELECT i, j, SUM(g) AS g FROM (SELECT p.k AS i, p.k AS j, 1 / ec AS g FROM ed JOIN nd p ON p.subplan = parent UNION ALL SELECT c.k, c.k, 1 / ec FROM ed JOIN nd c ON c.subplan = child "
+        "UNION ALL SELECT p.k, c.k, -1 / ec FROM ed JOIN nd p ON p.subplan = parent JOIN nd c ON c.subplan = child UNION ALL SELECT c.k, p.k, -1 / ec FROM ed JOIN nd p ON p.subplan = parent JOIN nd c ON c.subplan = child) GROUP BY i, j), "
+        "ro AS (SELECT x.k AS i, list(coalesce(g, 0) ORDER BY y.k) || [CASE WHEN x.subplan = (SELECT arg_max(subplan, n_tables) FROM plans) THEN 1 ELSE 0 END] AS r FROM nd x CROSS JOIN nd y LEFT JOIN en ON en.i = x.k AND en.j = y.k GROUP BY x.k, x.subplan), "
+        "ge(k, m) AS (SELECT 1, list(r ORDER BY i) FROM ro UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM ge WHERE k <= len(m)), "
+        "po AS (SELECT subplan, m[nd.k][len(m) + 1] AS v FROM nd, ge WHERE ge.k = len(m) + 1) "
+        "SELECT 'tree' AS query_id, printf('%.5e', SUM(tc * pow((p.v - coalesce(c.v, 0)) / ec, 2))) AS loss FROM ed JOIN po p ON p.subplan = parent LEFT JOIN po c ON c.subplan = child"
+    )
