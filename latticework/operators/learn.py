@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import cumulative
+from ..functions.scalars import sha1_bucket
+from .estimate import q_error
 
 
 def split(df: DataFrame, key: str, seed: int, test_percent: int = 20, kind: str = "query", custom: list[str] | None = None, val_percent: int = 0) -> tuple[DataFrame, ...]:
@@ -69,6 +71,30 @@ def complete(cells: DataFrame, rank: int = 4, seed: int = 1) -> DataFrame:
     return every.join(cells, ["i", "j"], "left").select("i", "j", "v", "value")
 
 
+def hide(cells: DataFrame, percent: float, seed: int) -> DataFrame:
+    """cells (i, j, v) with known: false for about `percent` of them, chosen by hash, the same in any engine and partitioning."""
+    at = F.concat_ws(" ", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"))
+    return cells.withColumn("known", sha1_bucket(at, 10_000) >= round(percent * 100))
+
+
+def additive(cells: DataFrame) -> DataFrame:
+    """cells with value: row mean and column mean of the known ones less their overall mean, which stands in for a row or column without any."""
+    known = cells.where("known")
+    every = known.agg(F.avg("v").alias("mean"))
+    d = cells.join(known.groupBy("i").agg(F.avg("v").alias("of_i")), "i", "left").join(known.groupBy("j").agg(F.avg("v").alias("of_j")), "j", "left")
+    d = d.crossJoin(F.broadcast(every))  # one row
+    return d.select("i", "j", "v", "known", (F.coalesce("of_i", "mean") + F.coalesce("of_j", "mean") - F.col("mean")).alias("value"))
+
+
+def masked_errors(filled: DataFrame) -> DataFrame:
+    """(hidden, zero_percent, qerr) of filled (i, j, v, known, value), logs: hidden cells, the share of the whole matrix without a known cell, the mean q-error of hidden cells."""
+    hidden, e = ~F.col("known"), q_error(F.exp("value"), F.exp("v"))
+    whole = F.countDistinct("i") * F.countDistinct("j")
+    return filled.agg(
+        F.sum(hidden.cast("long")).alias("hidden"), F.round(100 * (1 - F.sum(F.col("known").cast("long")) / whole), 4).alias("zero_percent"), F.round(F.avg(F.when(hidden, e)), 4).alias("qerr"),
+    )
+
+
 def flow(edges: pd.DataFrame):
     """Electrical flow through the lattice: (loss, gradient by edge) with conductance 1 / estimated cost and true costs as weights.
 

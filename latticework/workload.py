@@ -481,6 +481,11 @@ def matrix_completion(spark, d):
     return L.complete(_cells(spark, d))
 
 
+def masked_qerr(spark, d):
+    """A quarter of the matrix hidden and filled from row and column means."""
+    return L.masked_errors(L.additive(L.hide(_cells(spark, d), 25, 1)))
+
+
 def flow_loss(spark, d):
     e = _costed(spark, d).select(F.lit("tree").alias("query_id"), "parent", "child", "est_cost", "true_cost")
     one = _plans(spark).where("n_tables = 1").select(F.lit("tree").alias("query_id"), F.col("subplan").alias("parent"), F.lit("").alias("child"), F.lit(1.0).alias("est_cost"), F.lit(1.0).alias("true_cost"))
@@ -508,7 +513,7 @@ FUNCTIONS = [
     rel_err, qerr_by_num_tables, metric_summary, corr_est_true, constraints, edge_cost_c, edge_cost_registry, plan_cost_opt, plan_cost_est, plan_path, relative_cost, wander_join, hash_bucket,
     minmax_feature, like_ngrams, join_onehot, y_transforms, log_bucket, clean_words, quantile_chunk, ilike_prefix_counts, template_generated, energy_rank, svd_reconstruct, matrix_completion,
     flow_loss, table_sample, asof, est_independence, path_cover, greedy_cover, mse, qerr_joinkey,
-    plan_hints, cached_execute, source_edges, column_norms, like_features, plan_forced_order, executed_subplans, plan_runtime, plan_graph,
+    plan_hints, cached_execute, source_edges, column_norms, like_features, plan_forced_order, executed_subplans, plan_runtime, plan_graph, masked_qerr,
 ]
 
 
@@ -602,6 +607,11 @@ SELECT subplan, CAST(list_contains(string_split(subplan, ' '), 'n') AND (SELECT
         "plan_cost_est": f"{full}, {chosen} SELECT subplan, ROUND(ec, 3) AS est_cost, ROUND(tc, 3) AS true_cost FROM pick",
         "plan_path": f"{full}, {chosen} SELECT subplan, path FROM pick",
         "relative_cost": f"{full}, {chosen} SELECT ROUND(tc / m, 4) AS relative, ROUND(tc - m, 2) AS excess FROM pick, (SELECT MIN(tc) AS m FROM ways WHERE subplan = '{top}')",
+        "masked_qerr": "WITH names AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_mktsegment FROM customer)), "
+        "a AS (SELECT c_nationkey AS i, j, ln(COUNT(*)) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN names USING (c_mktsegment) GROUP BY c_nationkey, j), "
+        f"h AS (SELECT *, {bucket("'1 ' || i || ' ' || j", 10_000)} >= 2500 AS known FROM a), m AS (SELECT AVG(v) AS mean FROM h WHERE known), r AS (SELECT i, AVG(v) AS ri FROM h WHERE known GROUP BY i), c AS (SELECT j, AVG(v) AS cj FROM h WHERE known GROUP BY j), "
+        "f AS (SELECT h.*, coalesce(ri, mean) + coalesce(cj, mean) - mean AS x FROM h LEFT JOIN r USING (i) LEFT JOIN c USING (j), m) "
+        "SELECT CAST(COUNT(*) FILTER (NOT known) AS BIGINT) AS hidden, round(100 * (1 - CAST(COUNT(*) FILTER (known) AS DOUBLE) / (COUNT(DISTINCT i) * COUNT(DISTINCT j))), 4) AS zero_percent, round(AVG(exp(abs(x - v))) FILTER (NOT known), 4) AS qerr FROM f",
         "svd_reconstruct": _svd_sql(), "flow_loss": f"{full}, {_flow_sql()}",
         "hash_bucket": f"SELECT p_partkey, {bucket('p_name', 10)} AS b FROM part",
         "minmax_feature": "SELECT p_partkey, ROUND(CAST(p_size - lo AS DOUBLE) / (hi - lo), 6) AS f FROM part, (SELECT MIN(p_size) AS lo, MAX(p_size) AS hi FROM part)",

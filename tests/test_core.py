@@ -340,6 +340,20 @@ def test_matrix_holes_are_filled(spark):
     assert abs(hard_threshold([1.0, 2.0, 3.0], 4, 4) - 2 * 2.86) < 1e-9
 
 
+def test_hidden_cells_filled_from_means(spark):
+    """An additive matrix comes back whole; a row without known cells takes the columns' means."""
+    from latticework.operators import learn as L
+
+    cells = spark.createDataFrame([(i, j, float(i + 2 * j)) for i in range(6) for j in range(5)], "i int, j int, v double")
+    hidden = L.hide(cells, 25, 1)
+    assert 0 < hidden.where("NOT known").count() < 20
+    one = cells.selectExpr("i", "j", "v", "NOT (i = 2 AND j = 2) AND i <> 5 AS known")
+    got = {(r["i"], r["j"]): r["value"] for r in L.additive(one.where("i <> 2 OR j = 2 OR known")).collect()}
+    assert abs(got[5, 0] - 2.0) < 0.5 and len(got) == 30
+    full = L.masked_errors(L.additive(cells.selectExpr("*", "i + j > 0 AS known"))).first()
+    assert full["hidden"] == 1 and abs(full["zero_percent"] - 100 / 30) < 1e-3 and full["qerr"] >= 1
+
+
 def test_splits(spark):
     from latticework.operators.learn import split
 
