@@ -200,10 +200,25 @@ def _verify(words: int, similarity: float):
     return run
 
 
+#: A key of more than this share of all rows is heavy; there are no more such keys than one over it.
+HEAVY = 0.001
+
+
+def by_key(rows: DataFrame, key: str, counted: DataFrame, total: int) -> DataFrame:
+    """rows joined on `key` to counted (x, c, ...), where c is the number of rows with key x and total of all rows.
+
+    Heavy keys, 1 / HEAVY of them at most, are broadcast and their rows stay where they are; so no task gets all rows of a hot key.
+    """
+    heavy = F.col("c") > F.lit(HEAVY * total)
+    hot = F.broadcast(counted.where(heavy))
+    cold = rows.join(hot.select("x"), F.col(key) == F.col("x"), "left_anti").join(counted.where(~heavy), F.col(key) == F.col("x"))
+    return rows.join(hot, F.col(key) == F.col("x")).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (u, v): root is the least node of its component.
 
-    Large-star and small-star rounds, each of sums by node and joins that can be split, until the rows no longer change.
+    Large-star and small-star rounds, each of sums by node and joins in which heavy nodes are broadcast, until the rows no longer change.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(e, "links")
@@ -211,12 +226,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        least = stored(least.select(F.col("u").alias("x"), F.least("m", "u").alias("m"), "c"), "least")
+        large = by_key(both, "u", least, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        least = stored(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
+        small = by_key(large, "u", least, large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stored(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "small-star")
         after = mark(e)
         if after == before:
             break
@@ -252,10 +268,10 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, words: int, similari
     texts = stored(texts.select("fp", F.col("rep.id").alias("rep"), F.col("rep.n").alias("n_rep"), "n", "bands"), "texts")
 
     keys = texts.where(F.col("bands").isNotNull()).select("fp", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "k")
+    full = stored(keys.groupBy(F.col("key").alias("x")).agg(F.count("*").alias("c")).where("c > 1"), "full")
     members = F.least(F.greatest(F.col("c") / 8, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
     blocks = F.ceil(F.col("c") / members).cast("int")
-    met = keys.join(full, F.col("key") == F.col("k")).select("key", "fp", blocks.alias("nb"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    met = by_key(keys, "key", full, BANDS * texts.count()).select("key", "fp", blocks.alias("nb"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), "own", "fp")
     met = met.join(texts.select("fp", "n", "bands"), "fp").select("key", "lo", "hi", "own", "fp", "n", "bands")
     shape = "key long, lo int, hi int, own int, fp binary, n long, bands array<long>"

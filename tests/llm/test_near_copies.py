@@ -98,3 +98,27 @@ def test_other_columns_and_no_rows(spark):
     assert near_copies(d.limit(0)).count() == 0 and one_of_each(d.limit(0)).count() == 0
     kept = one_of_each(d)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_components_of_a_hub_and_chains(spark):
+    """A node with most of the edges, chains, and pairs: the least node of each component, as by a plain search."""
+    import random
+
+    from latticework.llm.minhash_join import components
+
+    r = random.Random(5)
+    edges = [(5000, 5001 + i) for i in range(3000)] + [(100 + i, 101 + i) for i in range(40)] + [(9000 + 2 * i, 9001 + 2 * i) for i in range(50)] + [(8000, 120), (7, 7)]
+    edges = [(a, b) if r.random() < 0.5 else (b, a) for a, b in edges]
+    up = {n: n for e in edges for n in e}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: top(n) for n in up if n != 7}  # an edge from a node to itself links nothing
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
