@@ -76,6 +76,16 @@ def counts_sql(g: Graph, filtered: bool = True) -> str:
 
 #: Sums that one pass over a table carries at most.
 MOST_SUMS = 2000
+#: Bytes that a message's rows take at most, unpacked, to be sent whole to every executor.
+MOST_BROADCAST = 16 << 20
+#: Queries whose filters one whole number holds, a bit each.
+BITS = 62
+
+
+def _by_size(message: DataFrame, cells: int) -> DataFrame:
+    """A stored message with a hint: broadcast if its rows are few, else dealt out by key. Spark would judge by the size of the files, where counts shrink a hundredfold."""
+    small = message.count() * (48 + 8 * cells) <= MOST_BROADCAST
+    return message.hint("broadcast" if small else "merge")
 
 
 def is_tree(g: Graph) -> bool:
@@ -98,12 +108,12 @@ def tree_counts(spark: SparkSession, sf_dir: str, graphs: dict[str, Graph]) -> D
     queries, counts = list(graphs), []
 
     def visit(alias: str, parent: str | None) -> tuple[DataFrame, list[tuple[str, ...]]]:
-        """The message (k, m: by query and subplan) of a table, stored, and its subplans."""
+        """The message (k, m: by query, then subplan) of a table, stored, and its subplans."""
         d, choices, up = table(spark, sf_dir, first.tables[alias]).alias(alias), [], None
         filters = [F.expr(" AND ".join(f"({p})" for p in graphs[q].preds.get(alias, [])) or "true") for q in queries]
         d = d.where(reduce(Column.__or__, filters))
-        weights = [f.cast("long") for f in filters]
-        d = d.select("*", *[F.coalesce(w, F.lit(0).cast("long")).alias(f"w{i}") for i, w in enumerate(weights)])
+        bits = [F.when(f, F.lit(1 << i % BITS)).otherwise(0).cast("long") for i, f in enumerate(filters)]
+        d = d.select("*", *[reduce(Column.bitwiseOR, bits[i : i + BITS]).alias(f"w{i // BITS}") for i in range(0, len(bits), BITS)])
         for j in first.joins:
             if alias in (j.left[0], j.right[0]):
                 mine, other = (j.left, j.right) if j.left[0] == alias else (j.right, j.left)
@@ -112,21 +122,21 @@ def tree_counts(spark: SparkSession, sf_dir: str, graphs: dict[str, Graph]) -> D
                 else:
                     sent, below = visit(other[0], alias)
                     n = len(choices)
-                    sent = sent.select(F.col("k").alias(f"k{n}"), F.col("m").alias(f"m{n}"))
+                    sent = _by_size(sent.select(F.col("k").alias(f"k{n}"), F.col("m").alias(f"m{n}")), len(queries) * len(below))
                     d = d.join(sent, d[mine[1]] == sent[f"k{n}"], "left")
-                    choices.append([None, *[(n, i, s) for i, s in enumerate(below)]])
+                    choices.append([None, *[(n, i, s, len(below)) for i, s in enumerate(below)]])
         plans = list(product(*choices))
         if len(plans) * len(queries) > MOST_SUMS:
             raise ValueError("too many subplans for one pass")
         subplans = [tuple(sorted({alias, *(a for c in some if c for a in c[2])})) for some in plans]
-        one = lambda q, some: reduce(Column.__mul__, [F.coalesce(F.get(F.get(f"m{n}", q), i), F.lit(0).cast("long")) for n, i, _ in filter(None, some)], F.col(f"w{q}"))
-        sums = [[F.coalesce(F.sum(one(q, some)), F.lit(0).cast("long")) for some in plans] for q in range(len(queries))]
-        m = F.array(*[F.array(*row) for row in sums]).alias("m")
+        weight = lambda q: F.shiftright(f"w{q // BITS}", q % BITS).bitwiseAND(F.lit(1).cast("long"))
+        one = lambda q, some: reduce(Column.__mul__, [F.coalesce(F.get(f"m{n}", F.lit(q * many + i)), F.lit(0).cast("long")) for n, i, _, many in filter(None, some)], weight(q))
+        m = F.array(*[F.coalesce(F.sum(one(q, some)), F.lit(0).cast("long")) for q in range(len(queries)) for some in plans]).alias("m")
         message = stored(d.groupBy(F.col(up).alias("k")).agg(m) if up else d.agg(m).select(F.lit(0).alias("k"), "m"), "message")
         names = F.array(*[F.lit(SEP.join(s)) for s in subplans])
         ids = F.array(*map(F.lit, queries))
-        cells = message.select(F.posexplode("m").alias("q", "row")).select("q", F.posexplode("row").alias("i", "n")).groupBy("q", "i").agg(F.sum("n").alias("n"))
-        counts.append(cells.select(F.get(ids, "q").alias("query_id"), F.get(names, "i").alias("subplan"), "n"))
+        cells = message.select(F.posexplode("m").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n"))
+        counts.append(cells.select(F.get(ids, F.floor(F.col("at") / len(plans)).cast("int")).alias("query_id"), F.get(names, F.col("at") % len(plans)).alias("subplan"), "n"))
         if up:  # a null key joins nothing
             message = message.where("k IS NOT NULL")
         return message, subplans

@@ -64,6 +64,33 @@ def test_message_passing_equals_join(spark):
         P.tree_counts(spark, SF, {"": graph(w.CYCLE)})
 
 
+def test_messages_of_many_keys_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Files of counts are a hundredth of their rows; judged by them, every message here would be gathered on the driver. More queries than one number has bits."""
+    from pyspark.sql import functions as F
+
+    from latticework.plans import lattice as P
+
+    n = 90_000
+    for name in ("a", "b"):
+        spark.range(n).select(F.col("id").alias(f"{name}_id"), (F.col("id") % 7).alias(f"{name}_v"), (F.col("id") % 5).alias(f"{name}_small")).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.range(5).select(F.col("id").alias("d_id")).write.parquet(f"{tmp_path}/d.parquet")
+    text = "SELECT COUNT(*) FROM a AS a, b AS b, d AS d WHERE a.a_id = b.b_id AND b.b_small = d.d_id AND b.b_v < {} AND a.a_v >= {}"
+    some = {f"q{i}": graph(text.format(i % 8, i % 3)) for i in range(64)}
+    plans, stored = [], P.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(P, "stored", seen)
+    got = {(r["query_id"], r["subplan"]): r["n"] for r in P.tree_counts(spark, str(tmp_path), some).collect()}
+    for i in range(64):
+        b, both = sum(x % 7 < i % 8 for x in range(n)), sum(i % 3 <= x % 7 < i % 8 for x in range(n))
+        assert got[f"q{i}", "b"] == got[f"q{i}", "b d"] == b and got[f"q{i}", "a b"] == got[f"q{i}", "a b d"] == both and got[f"q{i}", "d"] == 5
+    top = plans[-1]
+    assert top.count("SortMergeJoin") == 1 and top.count("BroadcastHashJoin") == 1
+
+
 def test_metrics_edges(spark):
     from pyspark.sql import functions as F
 
