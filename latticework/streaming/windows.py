@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -24,8 +26,13 @@ def windowed(stream: DataFrame, kind: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """All rows that the stream gives for the input now at hand."""
-    name = "s" + uuid.uuid4().hex
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All rows that the stream gives for the input now at hand, written into the shared folder by the executors and read from there."""
+    spark = df.sparkSession
+    path, state = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("stream", "stream-state"))
+    spark.createDataFrame([], df.schema).write.parquet(path)  # a stream may give no batch
+    put = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(state)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(df.schema).parquet(path)

@@ -413,3 +413,26 @@ def test_entry_without_extras(monkeypatch):
     e = importlib.import_module("__spark_entry__")
     assert "spj_count_3way" in e.queries() and not any(k.startswith("op") for k in e.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_streams_are_drained_without_the_driver(spark, tmp_path):
+    """Rows of a stream stay in files, in either mode, also without any; its state is gone afterwards."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from latticework import workload as w
+    from latticework.sources.tables import shared_dir
+    from latticework.streaming import windows as W
+
+    session = w.queries()["stream_session"](spark, SF)
+    assert session.inputFiles() and all(shared_dir(spark).split(":")[-1].lstrip("/") in f for f in session.inputFiles())
+    assert session.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("stream-state-*"))
+    some = spark.read.parquet(f"{SF}/events.parquet").limit(7)
+    for i in range(2):
+        some.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet/{i}")
+    flow = spark.readStream.schema(some.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert W.drain(flow.select("event_id"), "append").count() == 14
+    assert W.drain(flow.groupBy("event_type").agg(F.count("*").alias("n"))).agg(F.sum("n")).first()[0] == 14
+    assert W.drain(flow.where("false").select("event_id"), "append").count() == 0
