@@ -180,6 +180,24 @@ def test_learned_estimates_of_held_out_queries(spark):
         assert q[len(q) // 2] < 4, (kind, q)
 
 
+@pytest.mark.parametrize("kind", ["rf_estimator"])
+def test_estimators_broadcast_no_large_message(spark, monkeypatch, kind):
+    """The counts that an estimator learns from are made without any message on the driver that is over the limit."""
+    from latticework import workload as w
+    from latticework.plans import lattice as P
+
+    plans, stored = [], P.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(P, "stored", seen)
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0, raising=False)
+    assert w.queries()[kind](spark, f"{SF}/../sf0.001/{'./' * len(kind)}").count() > 0  # another path: nothing kept is used again
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_net_without_rows(spark):
     from latticework.operators.nets import fit_net
 
