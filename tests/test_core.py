@@ -180,7 +180,7 @@ def test_learned_estimates_of_held_out_queries(spark):
         assert q[len(q) // 2] < 4, (kind, q)
 
 
-@pytest.mark.parametrize("kind", ["rf_estimator"])
+@pytest.mark.parametrize("kind", ["rf_estimator", "fcnn_estimator"])
 def test_estimators_broadcast_no_large_message(spark, monkeypatch, kind):
     """The counts that an estimator learns from are made without any message on the driver that is over the limit."""
     from latticework import workload as w
