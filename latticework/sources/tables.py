@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -40,10 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the plans, broadcasts and shuffles of what was written, and hand back the heap that they grew.
+
+    Spark finds them by garbage collections alone, and a heap that grows as long as it may takes the driver's whole memory.
+    """
+    gc.collect()  # Python's frames hold the JVM's
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df's rows written into the shared folder and read from there: the lineage ends, and every reader sees the same rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +68,8 @@ def memo(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFr
         df, path = make(), f"{shared_dir(spark)}/memo-{at[0]}-{at[1]}"
         df.write.mode("overwrite").parquet(path)
         _memo[at] = (path, df.schema)
+        del df
+        release(spark)
     path, schema = _memo[at]
     return spark.read.schema(schema).parquet(path)
 

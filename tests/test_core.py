@@ -1,6 +1,7 @@
 """The query engine's parts on hand-made cases."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -454,3 +455,18 @@ def test_streams_are_drained_without_the_driver(spark, tmp_path):
     assert W.drain(flow.select("event_id"), "append").count() == 14
     assert W.drain(flow.groupBy("event_type").agg(F.count("*").alias("n"))).agg(F.sum("n")).first()[0] == 14
     assert W.drain(flow.where("false").select("event_id"), "append").count() == 0
+
+
+def whole_collections(spark):
+    """How often the driver's JVM collected its whole heap."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+
+def test_stored_rows_release_what_the_driver_held(spark):
+    """After each message of counts the driver frees the plans and broadcasts behind it; the rows stay."""
+    from latticework.sources.tables import stored
+
+    before = whole_collections(spark)
+    assert sorted(r.id for r in stored(spark.range(5), "five").collect()) == [0, 1, 2, 3, 4]
+    assert whole_collections(spark) > before
