@@ -122,3 +122,14 @@ def test_components_of_a_hub_and_chains(spark):
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: top(n) for n in up if n != 7}  # an edge from a node to itself links nothing
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_stored_rounds_release_what_the_driver_held(spark):
+    """After each stored round the driver frees the plans and broadcasts behind it; the rows stay."""
+    from latticework.llm.common import stored
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    before = sum(b.getCollectionCount() for b in old)
+    assert sorted(r.id for r in stored(spark.range(5), "five").collect()) == [0, 1, 2, 3, 4]
+    assert sum(b.getCollectionCount() for b in old) > before
