@@ -470,3 +470,14 @@ def test_stored_rows_release_what_the_driver_held(spark):
     before = whole_collections(spark)
     assert sorted(r.id for r in stored(spark.range(5), "five").collect()) == [0, 1, 2, 3, 4]
     assert whole_collections(spark) > before
+
+
+def test_memo_releases_what_the_driver_held(spark):
+    """What is kept for later queries frees the driver once, when it is written, and not when it is read again."""
+    from latticework.sources.tables import memo
+
+    before = whole_collections(spark)
+    assert memo(spark, "five rows", lambda: spark.range(5)).count() == 5
+    after = whole_collections(spark)
+    assert after > before
+    assert memo(spark, "five rows", lambda: spark.range(6)).count() == 5 and whole_collections(spark) == after
