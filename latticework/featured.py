@@ -25,7 +25,7 @@ def _preds(spark, d):
     g = many.graphs()
     preds = X.predicate_rows(spark, g)
     train, _ = L.split(preds, "query_id", 0, kind="custom", custom=[q for q in g if int(q.split("-")[1]) in HELD_OUT])
-    ranges = ST.column_stats(spark, d, [tuple(c.split(".")) for c in _layout().columns])
+    ranges = memo(spark, f"workload column ends {d}", lambda: ST.column_ends(spark, d, [tuple(c.split(".")) for c in _layout().columns]))
     return memo(spark, f"predicate vectors {d}", lambda: X.predicate_vectors(preds, _layout(), ranges, X.seen(train)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import sha1_bucket
 from ..plans.lattice import SEP
 from ..plans.sqlfront import Graph
-from ..sources.tables import table
+from ..sources.tables import memo, table
 
 
 def q_error(est: Column, true: Column) -> Column:
@@ -40,7 +40,8 @@ def independence_of(spark: SparkSession, sf_dir: str, graphs: dict[str, Graph],
     single = cards.where("n_tables = 1").select("query_id", F.col("subplan").alias("alias"), F.col("actual").alias("f"))
     base = plans.withColumn("alias", F.explode("nodes")).join(single, ["query_id", "alias"]).groupBy("query_id", "subplan").agg(F.sum(F.log("f")).alias("up"))
     sides = [(q, i, a, g.tables[a], c) for q, g in graphs.items() for i, j in enumerate(g.joins) for a, c in (j.left, j.right)]
-    ndv = distinct_values(spark, sf_dir, {(t, c) for *_, t, c in sides})
+    columns = {(t, c) for *_, t, c in sides}
+    ndv = memo(spark, f"distinct values {sf_dir} {sorted(columns)}", lambda: distinct_values(spark, sf_dir, columns))
     e = spark.createDataFrame(sides, "query_id string, i int, a string, t string, c string").join(ndv, ["t", "c"])
     e = e.groupBy("query_id", "i").agg(F.collect_set("a").alias("ab"), F.max("d").alias("d"))
     inside = plans.join(F.broadcast(e), "query_id").where(F.size(F.array_except("ab", "nodes")) == 0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import numbered
@@ -13,19 +14,33 @@ from ..plans.sqlfront import Graph
 from ..sources.tables import stored, table
 
 
-def column_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
-    """(col, min_value, max_value, num_values, total_values): extremes of non-null numbers, distinct values with null as one, rows; one pass over each table."""
+def _ends(c: str) -> list[Column]:
+    return [(F.min(c).try_cast("double") + 0.0).alias("min_value"), F.max(c).try_cast("double").alias("max_value")]
+
+
+def _by_column(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]], values: Callable[[str], list[Column]]) -> DataFrame:
+    """(col, *values): aggregates of each column, one pass over each table."""
     out = []
     for t in sorted({t for t, _ in columns}):
         some = sorted({c for x, c in columns if x == t})
-        one = lambda c: F.struct(
-            F.lit(f"{t}.{c}").alias("col"), (F.min(c).try_cast("double") + 0.0).alias("min_value"), F.max(c).try_cast("double").alias("max_value"),
-            (F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))).alias("num_values"), F.count("*").alias("total_values"),
-        )
-        out.append(table(spark, sf_dir, t).agg(F.array(*map(one, some)).alias("all")).select(F.explode("all").alias("x")).select("x.*"))
+        every = F.array(*[F.struct(F.lit(f"{t}.{c}").alias("col"), *values(c)) for c in some])
+        out.append(table(spark, sf_dir, t).agg(every.alias("all")).select(F.explode("all").alias("x")).select("x.*"))
     return reduce(DataFrame.unionByName, out)
 
 
+def column_ends(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """(col, min_value, max_value): column_stats without what needs a row for each distinct value."""
+    return _by_column(spark, sf_dir, columns, _ends)
+
+
+def column_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """(col, min_value, max_value, num_values, total_values): extremes of non-null numbers, distinct values with null as one, rows; one pass over each table."""
+    counts = lambda c: [
+        (F.countDistinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("long")), F.lit(0))).alias("num_values"), F.count("*").alias("total_values"),
+    ]
+    return _by_column(spark, sf_dir, columns, lambda c: [*_ends(c), *counts(c)])
+
+
 def join_key_stats(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]]) -> DataFrame:
     """Frequencies of a key: largest, least, mean, sample variance, rows, distinct keys, null share; null is a group of its own."""
     def one(t, c):

@@ -172,7 +172,7 @@ def cardinalities_of(spark: SparkSession, sf_dir: str, graphs: dict[str, Graph])
         for same in shapes.values():
             g = next(iter(same.values()))
             if all(map(is_tree, same.values())):
-                n = tree_counts(spark, sf_dir, {"": Graph(g.tables, g.joins), **same})
+                n = stored(tree_counts(spark, sf_dir, {"": Graph(g.tables, g.joins), **same}), "counts")  # read twice: else all messages are summed twice, in one plan
                 total = n.where("query_id = ''").select("subplan", F.col("n").alias("total"))
                 out.append(n.where("query_id <> ''").withColumnRenamed("n", "actual").join(total, "subplan"))
             else:

@@ -199,6 +199,38 @@ def test_estimators_broadcast_no_large_message(spark, monkeypatch, kind):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_features_are_planned_apart_from_base_tables(spark, monkeypatch):
+    """What base tables give is stored in plans of its own, so that the driver never compiles it with the joins behind; extremes need no distinct values."""
+    from latticework import featured, many
+    from latticework.operators import estimate as E
+    from latticework.operators import stats as ST
+    from latticework.plans import lattice as P
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    read = lambda p: {c for cols in re.findall(r"FileScan parquet \[([^\]]*)", p) for c in re.findall(r"\b[a-z]+_[a-z]+key\b|\b[clops]_[a-z]+", cols)}
+    d, plans, memo = f"{SF}/../sf0.001/{'./' * 30}", {}, featured.memo  # another path: nothing kept is used again
+
+    def seen(spark, key, make):
+        def kept():
+            df = make()
+            plans[key.split(d)[0].strip()] = plan(df)
+            return df
+
+        return memo(spark, key, kept)
+
+    monkeypatch.setattr(featured, "memo", seen)
+    monkeypatch.setattr(P, "memo", seen)
+    featured.predicate_features(spark, d)
+    assert not read(plans["predicate vectors"])
+    ends = plans["workload column ends"]
+    assert {"l_discount", "o_totalprice"} <= read(ends) and "Expand" not in ends
+    columns = [("lineitem", "l_discount"), ("orders", "o_totalprice"), ("orders", "o_orderstatus")]
+    got, want = ({tuple(r) for r in f(spark, d, columns).select("col", "min_value", "max_value").collect()} for f in (ST.column_ends, ST.column_stats))
+    assert got == want and len(got) == 3
+    assert not read(plan(E.independence_of(spark, d, many.graphs(), many._cards(spark, d), many._plans(spark))))
+    assert "Generate" not in plans["workload"]  # its messages are summed before
+
+
 def test_net_without_rows(spark):
     from latticework.operators.nets import fit_net
 
